@@ -89,16 +89,32 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def first_shared(key: Column, x: Column, radius: int) -> Column:
+    """Whether ``key`` is the first of the variants that two fingerprints with difference ``x`` share.
+
+    A pair shares many variants; with this condition in the join it is met once.
+    """
+    struck, earlier, out = key.bitwiseAND(F.lit(63)), F.lit(True), F.lit(False)
+    for low, width in segments(radius):
+        part = x.bitwiseAND(F.lit(((1 << width) - 1) << low if low + width < BITS else -(1 << low)))
+        out = out | (struck.between(low, low + width - 1) & earlier & ((part != 0) | (struck == low)))
+        earlier = earlier & (F.bit_count(part) >= 2)
+    return out
+
+
 def linked_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(fp, component)`` for those distinct ``fp`` values that have a link within ``radius``.
 
     ``component`` is the smallest linked ``fp``.  ``fps`` has the one column ``fp``, without repeats.
     ``radius`` must leave segments of at most 58 bits, so it is at least 2.
     """
-    index = fps.select("fp", F.explode(variants(F.col("fp"), radius)).alias("key"))
+    # The variants are 64 times as many rows, so the fingerprints are spread over all partitions first.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = spread.select("fp", F.explode(variants(F.col("fp"), radius)).alias("key"))
     buckets = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lead")).where("n > 1")
-    members = cut(index.join(buckets, "key").where("fp <> lead OR n > 2"))
-    near = members.where("fp <> lead").where(distance("fp", "lead") <= radius)
+    to_lead = (F.col("fp") != F.col("lead")) & (distance("fp", "lead") <= radius)
+    members = cut(index.join(buckets.withColumnRenamed("key", "bucket"), (F.col("key") == F.col("bucket")) & (to_lead | (F.col("n") > 2))).drop("bucket"))
+    near = members.where(to_lead)
     first = connected_components(near.select("fp", "lead").distinct(), "fp", "lead")
 
     placed = (
@@ -113,7 +129,8 @@ def linked_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     there = placed.join(mixed, "key")
     rest = there.where("of <> main").select("key", F.col("fp").alias("fp_a"), F.col("of").alias("a"))
     every = there.select(F.col("key").alias("key_b"), F.col("fp").alias("fp_b"), F.col("of").alias("b"))
-    more = rest.join(every, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & (distance("fp_a", "fp_b") <= radius)).select("a", "b").distinct()
+    met = first_shared(F.col("key"), F.col("fp_a").bitwiseXOR(F.col("fp_b")), radius)
+    more = rest.join(every, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & (distance("fp_a", "fp_b") <= radius) & met).select("a", "b").distinct()
     second = connected_components(more, "a", "b")
     loose = second.select(F.col("node").alias("of"), F.col("component").alias("joined"))
     nodes = first.select(F.col("node").alias("fp"), F.col("component").alias("of"))
