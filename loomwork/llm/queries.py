@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import simhash_dedup
+from loomwork.llm import language_id, piece_codec, quality_qda, simhash_dedup, token_files
+from loomwork.plans.lineage import cut, fresh_folder
+from loomwork.plans.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,43 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_token_checksums(spark, folder)
+
+
+def remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(remainder(4) != 2))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = cut(docs.select("doc_id", quality_qda.measured("text").alias("statistics")))
+    model = quality_qda.learn(found.where(remainder(5) != 0), table(spark, sf_dir, "labels"))
+    score = found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), quality_qda.scored(model, "statistics").alias("score"))
+    return score.withColumn("predicted", (F.col("score") >= quality_qda.THRESHOLD).cast("int"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoding_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_token_id_files": op5_token_id_files,
+        "op6_language_id": op6_language_id,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
