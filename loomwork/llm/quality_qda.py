@@ -30,7 +30,7 @@ STOP_WORDS = frozenset(
     "avec dans de des elle en est et il la le les pas pour qui que un une "
     "a como con de del el en es la las lo los mi no o para por que se su un una y".split()
 )
-STATISTICS = ("log_chars", "log_words", "word_length", "distinct_words", "stop_words", "symbols", "capitals", "digits", "sentence_marks", "shouts", "bars", "line_length", "repeated_lines", "packed")
+STATISTICS = ("chars", "word_length", "distinct_words", "stop_words", "symbols", "capitals", "digits", "sentence_marks", "shouts", "bars", "line_length", "repeated_lines", "packed")
 
 _BYTES = np.arange(256)
 _IS = {
@@ -50,26 +50,30 @@ def statistics(text: str | None) -> list[float]:
     raw = text.encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     words = text.split()
-    n, w = max(len(raw), 1), max(len(words), 1)
+    n, w = len(raw), len(words)
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     of = {k: int(counts[m].sum()) for k, m in _IS.items()}
-    small = zlib.compress(raw, 1)
-    share = lambda k: np.log((of[k] + 0.1) / n * 100 + 0.1)
+    packed = len(zlib.compress(raw, 1))
+    stops = sum([x in STOP_WORDS for x in text.lower().split()])
+
+    def share(part: float, whole: float, usual: float, weight: float) -> float:
+        """A ratio with ``weight`` units of usual text mixed in, so that short texts are not extreme."""
+        return (part + usual * weight) / (whole + weight)
+
     return [
-        np.log1p(len(text)),
-        np.log1p(len(words)),
-        np.log1p(sum(map(len, words)) / w),
-        len(set(words)) / w,
-        np.sqrt(sum([x in STOP_WORDS for x in text.lower().split()]) / w),
-        share("symbols"),
-        np.log((of["capitals"] + 0.5) / (of["letters"] + 1)),
-        share("digits"),
-        share("sentence_marks"),
-        share("shouts"),
-        share("bars"),
-        np.log1p(len(text) / max(len(lines), 1)),
-        np.log((len(lines) - len(set(lines)) + 0.1) / max(len(lines), 1) + 0.05),
-        np.log(len(small) / n),
+        np.log(max(len(text), 300)),
+        np.log(share(sum(map(len, words)), w, 6, 20)),
+        share(len(set(words)), w, 0.8, 50),
+        np.sqrt(share(stops, w, 0.2, 20)),
+        np.log(share(of["symbols"], n, 0.001, 100)),
+        np.log(share(of["capitals"], of["letters"], 0.03, 100)),
+        np.log(share(of["digits"], n, 0.001, 100)),
+        np.log(share(of["sentence_marks"], n, 0.03, 100)),
+        np.log(share(of["shouts"], n, 0.0005, 100)),
+        np.log(share(of["bars"], n, 0.0005, 100)),
+        np.log(share(len(text), len(lines), 100, 3)),
+        np.log(share(len(lines) - len(set(lines)), len(lines), 0.02, 10)),
+        np.log(share(packed, n, 0.5, 300)),
     ]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import language_id, piece_codec, quality_qda, simhash_dedup, token_files
+from loomwork.llm import chat_format, decontaminate, language_id, license_scan, piece_codec, quality_qda, quality_rules, simhash_dedup, token_files, url_trust
 from loomwork.plans.lineage import cut, fresh_folder
 from loomwork.plans.shipping import ship
 
@@ -16,6 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    url_trust.UrlRule("com/", allow=True),
+    url_trust.UrlRule("example.com/en/", allow=False),
+    url_trust.UrlRule("www.example.com/en/", allow=True),
+    url_trust.UrlRule("net/es/", allow=False),
+    url_trust.UrlRule("net/fr/", allow=False),
+]
+
+
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judged(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    turns = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), said.alias("text")) for k, role in enumerate(("user", "assistant"))]
+    more = spark.range(1).select(F.inline(F.array(*turns)))
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    back = chat_format.read_back(chat_format.expand(convs))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,16 +82,30 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= quality_qda.THRESHOLD).cast("int"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoding_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_trust": op1_url_trust,
+        "op2_chat_format": op2_chat_format,
+        "op3_decontamination": op3_decontamination,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_token_id_files": op5_token_id_files,
         "op6_language_id": op6_language_id,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_license_scan": op8_license_scan,
+        "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
