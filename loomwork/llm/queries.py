@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat_format, decontaminate, language_id, license_scan, piece_codec, quality_qda, quality_rules, simhash_dedup, token_files, url_trust
+from loomwork.llm import chat_format, decontaminate, language_id, license_scan, oracles, piece_codec, quality_qda, quality_rules, simhash_dedup, token_files, url_trust
 from loomwork.plans.lineage import cut, fresh_folder
 from loomwork.plans.shipping import ship
 
@@ -111,4 +111,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators learn, hash or iterate in ways SQL can't express; their tests use brute force."""
+    return oracles.oracle_sql()
