@@ -197,10 +197,10 @@ def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.weak_components(_edges(spark, sf))
 
 
-@_register("depth_vs_pagerank", f"WITH RECURSIVE {RANKS}, {ctes('queue')} SELECT r.node, q.depth, round(r.p, 8) AS pr, round(r.p / (1 + q.depth), 6) AS pr_by_depth FROM ranks r JOIN queue q ON q.domain = r.node")
+@_register("depth_vs_pagerank", f"WITH RECURSIVE {RANKS}, {ctes('queue')} SELECT r.node, q.depth, round(r.p, 8) AS pr, round(r.p, 8) / (1 + q.depth) AS pr_by_depth FROM ranks r JOIN queue q ON q.domain = r.node")
 def depth_vs_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     depths = view(spark, sf, "queue").select(F.col("domain").alias("node"), "depth")
-    return graph.depth_measures(_ranks(spark, sf)[1], depths, digits=8).withColumn("pr_by_depth", F.round("pr_by_depth", 6))
+    return graph.depth_measures(_ranks(spark, sf)[1], depths, digits=8)
 
 
 @_register("failed_by_kind", f"WITH {ctes('queue')} SELECT CASE WHEN contains(domain, '.') THEN 'custom' ELSE 'platform' END AS kind, count(*) FILTER (status = 'failed')::BIGINT AS failed, count(*)::BIGINT AS domains FROM queue GROUP BY 1")
