@@ -84,3 +84,13 @@ def test_every_row_has_its_component(odd, spark):
 
 def test_empty_table(none_at_all):
     assert sd.near_duplicates(none_at_all).collect() == []
+
+
+def test_verified_duplicates(make, odd, none_at_all):
+    base = [f"w{k}" for k in range(300)]
+    near = base[:150] + ["changed"] + base[151:]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, " ".join(reversed(base))), (None, " ".join(base)), (6, "tiny"), (7, "tiny"), (8, None), (9, None), (10, "")]
+    found = {r.doc_id: r.kept_id for r in sd.verified_duplicates(make(rows)).collect()}
+    assert found == {2: 1, 3: 1, 7: 6, 9: 8, 10: 8}
+    assert {r.doc_id for r in sd.verified_duplicates(odd).collect()} <= {1, 2}
+    assert sd.verified_duplicates(none_at_all).collect() == []
