@@ -103,11 +103,11 @@ def test_sqlite_source(spark, tmp_path):
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, w REAL)")
         db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(k, None if k % 3 else f"n{k}", k / 2) for k in range(50)])
-        db.execute("CREATE TABLE nothing (id INTEGER)")
-    assert sqlite.table_names(path) == ["nothing", "t"]
+        db.execute("CREATE TABLE empty_one (id INTEGER)")
+    assert sqlite.table_names(path) == ["empty_one", "t"]
     df = sqlite.read_table(spark, path, "t", 4)
     assert df.dtypes == [("id", "bigint"), ("name", "string"), ("w", "double")] and df.count() == 50 and df.agg(F.sum("w")).first()[0] == 612.5
-    assert sqlite.read_table(spark, path, "nothing").count() == 0
+    assert sqlite.read_table(spark, path, "empty_one").count() == 0
 
 
 def test_streaming_is_idempotent(spark, tmp_path):
