@@ -60,10 +60,13 @@ def with_simhash(df: DataFrame, s: str = "s", to: str = "fp") -> DataFrame:
     The bits are added up in 16-bit lanes, four in a long.
     """
     mask = sum(1 << (LANE * k) for k in range(BITS // LANE))
-    lanes = F.expr(f"transform(sequence(0, {LANE - 1}), low -> aggregate({s}, 0L, (a, h) -> a + (shiftrightunsigned(h, low) & {mask}L)))")
-    count = f"shiftrightunsigned(_lanes[k % {LANE}], cast(k div {LANE} as int) * {LANE}) & {(1 << LANE) - 1}L"
-    bits = F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (a, k) -> a | if(({count}) * 2 > size({s}), shiftleft(1L, k), 0L))")
-    return df.withColumn("_lanes", lanes).withColumn(to, bits).drop("_lanes")
+    lanes = f"transform(sequence(0, {LANE - 1}), low -> aggregate({s}, 0L, (a, h) -> a + (shiftrightunsigned(h, low) & {mask}L)))"
+    count = f"shiftrightunsigned(lanes[k % {LANE}], cast(k div {LANE} as int) * {LANE}) & {(1 << LANE) - 1}L"
+    bits = f"aggregate(sequence(0, {BITS - 1}), 0L, (a, k) -> a | if(({count}) * 2 > size({s}), shiftleft(1L, k), 0L))"
+    # As the variable of an outer lambda the lanes are added up once; a column of their own would be
+    # folded into the inner lambda and added up for every bit.  The result is declared not null: a filter on
+    # nulls, which Spark would infer from a join and push down, would compute the fingerprint once more.
+    return df.withColumn(to, F.expr(f"coalesce(transform(array({lanes}), lanes -> {bits})[0], 0L)"))
 
 
 def blocks(fp: Column) -> Column:
@@ -76,6 +79,16 @@ def blocks(fp: Column) -> Column:
     return F.array(*parts)
 
 
+def first_equal_block(x: Column) -> Column:
+    """Number of the first block in which two fingerprints with difference ``x`` agree; null if there is none."""
+    edges = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+    found = F.lit(None).cast("int")
+    for k, (a, b) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
+        agrees = F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0
+        found = F.when(agrees, F.lit(k)).otherwise(found)
+    return found
+
+
 def numbered(s: Column) -> Column:
     """The multiset of an array of hashes as a set: each hash with its occurrence's number."""
     return F.transform(s, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(s, h)))
@@ -130,8 +143,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     cuts = laid.select("doc_id", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("s")).dropDuplicates(["doc_id", "n", "start", "s"])
     prints = with_simhash(cuts).select("doc_id", "n", "start", "s", "fp", F.explode_outer(blocks(F.col("fp"))).alias("block"))
     listed = items.select("item_id", "marks", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), F.explode_outer(blocks(F.col("fp"))).alias("item_block"))
-    within = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    met = prints.join(_sized(listed, most.items * (RADIUS + 1)), (F.col("n") == F.col("item_n")) & (F.col("block") == F.col("item_block")) & within)
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    # A pair agrees in many blocks; it is met at the first of them only, so its similarity is worked out once.
+    once = F.pmod("block", F.lit(RADIUS + 1)) == first_equal_block(apart)
+    met = prints.join(_sized(listed, most.items * (RADIUS + 1)), (F.col("n") == F.col("item_n")) & (F.col("block") == F.col("item_block")) & (F.bit_count(apart) <= RADIUS) & once)
     found = met.select("doc_id", "item_id", "start", "marks", F.size("s").alias("size"), F.sort_array("s").alias("sorted")).withColumn("own", numbered(F.col("sorted")))
     found = found.select("doc_id", "item_id", "start", "size", weighted_similarity(F.col("own"), F.col("marks")).alias("similarity"))
     best = F.max_by(F.struct("similarity", "start", "size"), F.struct("similarity", (-F.col("start")).alias("first"), "size"))
