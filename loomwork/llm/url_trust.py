@@ -113,7 +113,8 @@ def judged(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_
     sides = mass.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     scored = hosts.select("host", "pages").join(sides, "host", "left").select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     bad = (F.col("distrust") >= DISTRUST_SHARE * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") >= DISTRUST_PER_PAGE * F.col("pages"))
-    scored = scored.select("host", "trust", "distrust", bad.alias("bad"))
+    # Cut, so that both sides of the join below are dealt for it alone and a host with many pages can be split.
+    scored = cut(scored.select("host", "trust", "distrust", bad.alias("bad")))
     allowed = F.coalesce(F.col("allowed"), ~F.col("bad"), F.lit(True))
     verdict = F.when(allowed, "allow").otherwise("block")
     return marked.join(scored, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
