@@ -182,4 +182,5 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = F.size(F.array_intersect("set", "kept_set"))
     alike = F.when(F.col("whole") == F.col("kept_whole"), F.lit(1.0)).otherwise(both / (F.size("set") + F.size("kept_set") - both))
     found = members.join(kept, "kept_id").select("doc_id", "kept_id", alike.alias("similarity"))
-    return found.groupBy("doc_id", "kept_id").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= similarity)
+    # Dealt anew, or the aggregate would take over the join's dealing by kept_id and a large group could not be split.
+    return found.repartition("doc_id", "kept_id").groupBy("doc_id", "kept_id").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= similarity)
