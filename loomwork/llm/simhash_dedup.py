@@ -155,32 +155,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_fingerprints(text: bytes) -> bytes:
+    """Two 64-bit SimHashes, end to end, of a text's distinct words: the halves of their XXH3 128-bit hashes."""
+    words = set(text.lower().split())
+    if not words:
+        return bytes(2 * BITS // 8)
+    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED) for w in words]), np.uint8).reshape(len(words), -1)
+    counts = np.zeros(2 * BITS, np.int64)
+    for part in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[part : part + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(words), bitorder="little").tobytes()
+
+
+def _prints(pairs: DataFrame) -> DataFrame:
+    """``(doc_id, whole, fp_0, fp_1)``: a hash of the text and the fingerprints of its distinct words."""
+
+    def kernel(texts: pa.Array) -> dict[str, pa.Array]:
+        raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        fps = np.frombuffer(b"".join(map(word_fingerprints, raw)), np.int64).reshape(-1, 2)
+        return {"whole": pa.array([xxhash.xxh3_128_digest(t) for t in raw], pa.binary()), "fp_0": pa.array(fps[:, 0]), "fp_1": pa.array(fps[:, 1])}
+
+    return map_texts(pairs, kernel, "whole binary, fp_0 long, fp_1 long")
+
+
 def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """``rows`` with ``text`` replaced by ``whole`` (its hash) and ``set`` (hashes of its distinct shingles)."""
+    """``rows`` with ``text`` replaced by ``set``: hashes of its distinct shingles."""
     rest = [c for c in rows.columns if c != "text"]
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    hashed = rows.select(*rest, F.xxhash64("text").alias("whole"), F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
+    hashed = rows.select(*rest, F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
     n = F.size("w")
     rolling = F.transform(F.slice("w", 1, F.greatest(n - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, shingle)]))
-    return hashed.select(*rest, "whole", F.array_distinct(F.when(n >= shingle, rolling).otherwise(F.array(F.xxhash64("w")))).alias("set"))
+    return hashed.select(*rest, F.array_distinct(F.when(n >= shingle, rolling).otherwise(F.array(F.xxhash64("w")))).alias("set"))
+
+
+def _alike(tried: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs ``(a, b)`` of ids whose texts' distinct shingles are ``similarity`` alike (Jaccard)."""
+    involved = tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # Rows repeated under one id meet as one row; their texts are hashed, which keeps the aggregate small.
+    sets = _shingle_sets(texts.join(involved, "doc_id"), shingle).select("doc_id", "set", F.xxhash64("set").alias("whole"))
+    sets = cut(sets.groupBy("doc_id", "whole").agg(F.first("set").alias("set")).drop("whole"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    met = tried.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    return met.where(both * (1 + similarity) >= (F.size("set_a") + F.size("set_b")) * similarity - 1e-9).select("a", "b")
+
+
+def verified_links(prints: DataFrame, texts: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """``(node, component)`` of the ids in ``prints (id, fp_0, fp_1)`` that have a verified link.
+
+    A pair is a candidate if either of its two fingerprints differs in at most ``radius`` bits.  As in
+    ``linked_components`` members of a bucket meet its smallest id first, and after that only members of
+    different components meet, so a large group of copies is never written out as pairs.
+    """
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    each = spread.select("id", F.posexplode(F.array("fp_0", "fp_1")).alias("k", "fp"))
+    index = each.select("id", "k", "fp", F.explode(variants(F.col("fp"), radius)).alias("v")).select("id", "k", "fp", F.col("v").bitwiseOR(F.shiftleft(F.col("k").cast("long"), 40)).alias("key"))
+    buckets = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
+    members = cut(index.join(buckets, "key"))
+    led = members.where("id <> lead").groupBy("id", "lead", "k").agg(F.min("fp").alias("fp"))
+    leads = prints.select(F.col("id").alias("lead"), F.posexplode(F.array("fp_0", "fp_1")).alias("k", "lead_fp"))
+    tried = cut(led.join(leads, ["lead", "k"]).where(distance("fp", "lead_fp") <= radius).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    first = connected_components(_alike(tried, texts, shingle, similarity), "a", "b")
+
+    placed = members.where("n > 2").select("key", "id", "fp").join(first.select(F.col("node").alias("id"), F.col("component").alias("of")), "id", "left")
+    placed = cut(placed.select("key", "id", "fp", F.coalesce("of", "id").alias("of")))
+    shares = placed.groupBy("key", "of").agg(F.count(F.lit(1)).alias("share"))
+    mixed = shares.groupBy("key").agg(F.max_by("of", F.struct("share", "of")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "main")
+    there = placed.join(mixed, "key")
+    rest = there.where("of <> main").select("key", F.col("id").alias("id_a"), F.col("fp").alias("fp_a"), F.col("of").alias("of_a"))
+    every = there.select(F.col("key").alias("key_b"), F.col("id").alias("id_b"), F.col("fp").alias("fp_b"), F.col("of").alias("of_b"))
+    met = first_shared(F.col("key"), F.col("fp_a").bitwiseXOR(F.col("fp_b")), radius)
+    apart = rest.join(every, (F.col("key") == F.col("key_b")) & (F.col("of_a") != F.col("of_b")) & (distance("fp_a", "fp_b") <= radius) & met)
+    more = cut(apart.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    return connected_components(first.toDF("b", "a").select("a", "b").union(_alike(more, texts, shingle, similarity)), "a", "b")
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radius: int = 5, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, kept_id, similarity)`` of the documents that repeat the smallest document of their group.
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, kept_id)`` of the documents that are not the smallest id of their group of near duplicates.
 
-    Groups come from ``near_duplicates``.  Fingerprints of 2-word shingles differ in fewer bits than those of longer
-    ones for the same edits (5.1 of 64 on average where 5-word shingles are 0.85 alike), so a radius that
-    three segments cover finds more; what they link too much is undone here: a document counts only
-    if its distinct 5-word shingles are ``similarity`` alike (Jaccard) to those of the kept one, or its text is the
-    same.  Rows without an id are never listed; an id that stands on several rows is listed once.
+    Equal texts are linked, and those whose distinct ``shingle``-word shingles are ``similarity`` alike (Jaccard) if
+    either of two SimHashes of their distinct words differs in at most ``radius`` bits; groups are the connected
+    components.  These fingerprints are closer for near copies than ones of longer shingles or of all
+    occurrences: an edit changes fewer features, and frequent words do not outweigh the rest.  Null texts
+    count as empty.  Rows without an id are never listed; an id that stands on several rows is one document, listed once.
     """
-    pairs = ids_and_texts(docs, id_col, text_col)
-    groups = cut(near_duplicates(pairs, words=words, radius=radius).where("doc_id <> component_id").select("doc_id", F.col("component_id").alias("kept_id")).distinct())
-    members = _shingle_sets(pairs.join(groups, "doc_id"), shingle).select("doc_id", "kept_id", "whole", "set")
-    heads = groups.select(F.col("kept_id").alias("doc_id")).distinct()
-    kept = _shingle_sets(pairs.join(heads, "doc_id"), shingle).select(F.col("doc_id").alias("kept_id"), F.col("whole").alias("kept_whole"), F.col("set").alias("kept_set"))
-    both = F.size(F.array_intersect("set", "kept_set"))
-    alike = F.when(F.col("whole") == F.col("kept_whole"), F.lit(1.0)).otherwise(both / (F.size("set") + F.size("kept_set") - both))
-    found = members.join(kept, "kept_id").select("doc_id", "kept_id", alike.alias("similarity"))
-    # Dealt anew, or the aggregate would take over the join's dealing by kept_id and a large group could not be split.
-    return found.repartition("doc_id", "kept_id").groupBy("doc_id", "kept_id").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= similarity)
+    pairs = ids_and_texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    marked = cut(_prints(pairs))
+    classes = cut(marked.groupBy("whole", "fp_0", "fp_1").agg(F.min("doc_id").alias("id")))
+    linked = verified_links(classes.select("id", "fp_0", "fp_1").distinct(), pairs, radius, shingle, similarity)
+    kept = classes.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("whole", F.coalesce("component", "id").alias("kept_id"))
+    return marked.select("doc_id", "whole").join(kept, "whole").where("doc_id <> kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
