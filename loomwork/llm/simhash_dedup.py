@@ -207,10 +207,12 @@ def verified_links(prints: DataFrame, texts: DataFrame, radius: int, shingle: in
     different components meet, so a large group of copies is never written out as pairs.
     """
     spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    each = spread.select("id", F.posexplode(F.array("fp_0", "fp_1")).alias("k", "fp"))
-    index = each.select("id", "k", "fp", F.explode(variants(F.col("fp"), radius)).alias("v")).select("id", "k", "fp", F.col("v").bitwiseOR(F.shiftleft(F.col("k").cast("long"), 40)).alias("key"))
+    second = F.transform(variants(F.col("fp_1"), radius), lambda v: v.bitwiseOR(F.lit(1 << 40)))
+    index = spread.select("id", F.explode(F.concat(variants(F.col("fp_0"), radius), second)).alias("key"))
     buckets = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
-    members = cut(index.join(buckets, "key"))
+    # Fingerprints join only the members of shared buckets, so that the index is shuffled without them.
+    shared = cut(index.join(buckets, "key")).join(prints, "id").withColumn("k", F.shiftright("key", 40).cast("int"))
+    members = shared.select("id", "key", "n", "lead", "k", F.when(F.col("k") == 0, F.col("fp_0")).otherwise(F.col("fp_1")).alias("fp"))
     led = members.where("id <> lead").groupBy("id", "lead", "k").agg(F.min("fp").alias("fp"))
     leads = prints.select(F.col("id").alias("lead"), F.posexplode(F.array("fp_0", "fp_1")).alias("k", "lead_fp"))
     tried = cut(led.join(leads, ["lead", "k"]).where(distance("fp", "lead_fp") <= radius).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
