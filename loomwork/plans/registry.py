@@ -505,7 +505,7 @@ def _trees(spark: SparkSession, sf: str) -> DataFrame:
     leaf = lambda k: F.when(F.size("t") > k, F.transform(F.slice("t", k + 1, 1), lambda t: F.struct(t["turn"].alias("id"), t["text"].alias("body"), F.struct(t["role"].alias("id"), t["role"].alias("name")).alias("user")))).otherwise(F.array().cast(flat))
     second = F.when(F.size("t") > 1, F.transform(F.slice("t", 2, 1), lambda t: node(t, leaf(2)))).otherwise(F.array())
     first = F.transform(F.slice("t", 1, 1), lambda t: node(t, second))
-    rest = F.transform(F.slice("t", 4, 1000), lambda t: F.struct(t["turn"].alias("id"), t["text"].alias("body"), F.struct(t["role"].alias("id"), t["role"].alias("name")).alias("user")))
+    rest = F.transform(F.slice("t", F.lit(4), F.size("t")), lambda t: F.struct(t["turn"].alias("id"), t["text"].alias("body"), F.struct(t["role"].alias("id"), t["role"].alias("name")).alias("user")))
     payload = F.to_json(F.struct(first.alias("comments")))
     more = F.to_json(F.struct(rest.alias("items")))
     return rows.select(F.col("conv_id").alias("payload_id"), payload.alias("payload")).union(rows.select("conv_id", more))
