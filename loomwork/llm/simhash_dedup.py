@@ -14,6 +14,8 @@ components are those of the full link graph.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,12 +24,17 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.batches import ids_and_texts, map_texts
 from loomwork.operators.components import connected_components
-from loomwork.plans.lineage import cut
+from loomwork.plans.lineage import cut, fresh_folder
+from loomwork.plans.shipping import ship
 
 SEED = 42
 BITS = 64
 RADIUS = 4
 SHINGLE_WORDS = 4
+#: One text in so many is looked through for frequent shingles, and in how many of these a frequent one stands at least.
+FREQUENT_SAMPLE, FREQUENT = 16, 4
+#: Most frequent shingles that travel to the workers.
+MOST_FREQUENT = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -231,18 +238,119 @@ def verified_links(prints: DataFrame, texts: DataFrame, radius: int, shingle: in
     return connected_components(first.toDF("b", "a").select("a", "b").union(_alike(more, texts, shingle, similarity)), "a", "b")
 
 
+def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that stand in many of ``texts (whole, text)``.
+
+    They only decide in which order shingles are looked at, so a sample will do and any answer is right.
+    """
+    some = texts.where(F.pmod(F.xxhash64("whole"), F.lit(FREQUENT_SAMPLE)) == 0).dropDuplicates(["whole"])
+    counts = _shingle_sets(some, shingle).select(F.explode_outer("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts, least = cut(counts.where(F.col("n") >= FREQUENT)), FREQUENT
+    while counts.where(F.col("n") >= least).count() > MOST_FREQUENT:
+        least *= 2
+    return np.sort(np.array([r.h for r in counts.where(F.col("n") >= least).select("h").collect()], np.int64))
+
+
+def _prefix_size(n: Column, similarity: float) -> Column:
+    return (n - F.ceil(n * similarity - 1e-6) + 1).cast("int")
+
+
+def prefixes(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(id, n, prefix)`` of each distinct text: its smallest id, its number of shingles and the first of them.
+
+    The order is that of the hashes, frequent shingles last.  Two sets that are ``similarity`` alike share that part
+    of each at least, so they can't differ in all of the first ``n - ceil(similarity * n) + 1`` shingles.
+    """
+    texts = pairs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("whole"), "text")
+    frequent = _frequent(texts.select("whole", "text"), shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(2)
+            n = np.diff(sets.offsets.to_numpy())
+            values, of = sets.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
+            late = frequent[at] == values if len(frequent) else np.zeros(len(values), bool)
+            order = np.lexsort((values, late, of))
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            size = n - np.ceil(n * similarity - 1e-6).astype(np.int64) + 1
+            first = values[order][rank < np.repeat(size, n)]
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(first))], names=["doc_id", "whole", "n", "prefix"])
+
+    ship(pairs.sparkSession)
+    found = _shingle_sets(texts, shingle).select("doc_id", "whole", "set").mapInArrow(run, "doc_id long, whole string, n int, prefix array<long>")
+    return found.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("id", "n", "prefix")
+
+
+def left_pairs(pairs: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(a, b, of_a, of_b, shared)``: pairs of different components of ``linked (node, component)`` that may be alike.
+
+    No pair that is ``similarity`` alike is missing: such a pair shares a shingle of both prefixes, and what it
+    shares there and after the prefixes is enough.  ``shared`` is the number of common shingles of the prefixes.
+    """
+    labels = linked.select(F.col("node").alias("id"), F.col("component").alias("of"))
+    texts = cut(prefixes(pairs, shingle, similarity).join(labels, "id", "left").select("id", "n", F.coalesce("of", "id").alias("of"), "prefix"))
+    index = texts.select(F.explode_outer("prefix").alias("h"), "id", "n", "of")
+    mixed = index.groupBy("h").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("h")
+    met = cut(index.join(mixed, "h"))
+    shares = met.groupBy("h", "of").agg(F.count(F.lit(1)).alias("share"))
+    main = shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main"))
+    there = met.join(main, "h")
+    rest = there.where("of <> main").select("h", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("of").alias("of_x"))
+    every = there.select(F.col("h").alias("h_y"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("of").alias("of_y"), (F.col("of") == F.col("main")).alias("in_main"))
+    sized = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-6
+    both = rest.join(every, (F.col("h") == F.col("h_y")) & (F.col("of_x") != F.col("of_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & sized)
+    up = F.col("x") < F.col("y")
+    ends = [F.when(up, F.col(f"{c}x")).otherwise(F.col(f"{c}y")).alias(f"{c}a") for c in ("", "n_", "of_")]
+    ends += [F.when(up, F.col(f"{c}y")).otherwise(F.col(f"{c}x")).alias(f"{c}b") for c in ("", "n_", "of_")]
+    shared = both.select(*ends).groupBy("a", "b", "n_a", "n_b", "of_a", "of_b").agg(F.count(F.lit(1)).alias("shared"))
+    after = F.greatest(*[F.col(n) - _prefix_size(F.col(n), similarity) for n in ("n_a", "n_b")])
+    enough = (F.col("shared") + after) * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6
+    return cut(shared.where(enough).groupBy("a", "b", "of_a", "of_b").agg(F.max("shared").alias("shared")))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` from files: a checkpoint hands on estimates of sizes, which grow with every join until planning stalls."""
+    folder = fresh_folder(df.sparkSession, "links")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def completed_links(pairs: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``linked (node, component)`` with the components joined between which a pair is ``similarity`` alike.
+
+    The likeliest pair between two components is tried first; the others only where that leaves them apart.
+    """
+    left = _written(left_pairs(pairs, linked, shingle, similarity))
+    for last in (False, True):
+        likely = left if last else left.groupBy("of_a", "of_b").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
+        links = _written(_alike(_written(likely.select("a", "b")), pairs, shingle, similarity))
+        linked = _written(connected_components(linked.toDF("b", "a").select("a", "b").union(links), "a", "b"))
+        if not last:
+            now = [linked.select(F.col("node").alias(k), F.col("component").alias(f"now_{k}")) for k in ("a", "b")]
+            moved = left.select("a", "b", "of_a", "of_b").join(now[0], "a", "left").join(now[1], "b", "left")
+            left = _written(moved.select("a", "b", F.coalesce("now_a", "of_a").alias("at_a"), F.coalesce("now_b", "of_b").alias("at_b")))
+            left = left.where("at_a <> at_b")
+            if left.isEmpty():
+                break
+    return linked
+
+
 def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, kept_id)`` of the documents that are not the smallest id of their group of near duplicates.
 
-    Equal texts are linked, and those whose distinct ``shingle``-word shingles are ``similarity`` alike (Jaccard) if
-    either of two SimHashes of their distinct words differs in at most ``radius`` bits; groups are the connected
-    components.  These fingerprints are closer for near copies than ones of longer shingles or of all
-    occurrences: an edit changes fewer features, and frequent words do not outweigh the rest.  Null texts
+    Equal texts are linked, and those whose distinct ``shingle``-word shingles are ``similarity`` alike (Jaccard);
+    groups are the connected components.  Pairs of which either of two SimHashes of their distinct words differs in at
+    most ``radius`` bits are tried first.  These fingerprints are closer for near copies than ones of longer shingles or of all
+    occurrences: an edit changes fewer features, and frequent words do not outweigh the rest.  The pairs between the
+    components found, as of texts with a block added or cut off, then come from a prefix join, which misses none.  Null texts
     count as empty.  Rows without an id are never listed; an id that stands on several rows is one document, listed once.
     """
     pairs = ids_and_texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
     marked = cut(_prints(pairs))
     classes = cut(marked.groupBy("whole", "fp_0", "fp_1").agg(F.min("doc_id").alias("id")))
-    linked = verified_links(classes.select("id", "fp_0", "fp_1").distinct(), pairs, radius, shingle, similarity)
+    linked = _written(verified_links(classes.select("id", "fp_0", "fp_1").distinct(), pairs, radius, shingle, similarity))
+    linked = completed_links(pairs, linked, shingle, similarity)
     kept = classes.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("whole", F.coalesce("component", "id").alias("kept_id"))
     return marked.select("doc_id", "whole").join(kept, "whole").where("doc_id <> kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
