@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.plans.lineage import cut
+from loomwork.plans.lineage import written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -21,15 +21,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     holds a large share of the edges.
     """
     one_way = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = cut(one_way.union(one_way.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = written(one_way.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("a"), "label"), "a")
         heard = seen.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = lower.join(onward, "label", "left").select("node", "was", F.least("label", "further").alias("label"))
-        done = cut(jumped)
+        done = written(jumped)
         labels = done.select("node", "label")
         if done.where("label <> was").isEmpty():
             return labels.select("node", F.col("label").alias("component"))

@@ -35,3 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new, unused folder under the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as Parquet files in the shared folder, read back.
+
+    Unlike a checkpoint, files tell the planner their size, so that small sides of later joins are broadcast.
+    """
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
