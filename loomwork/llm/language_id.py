@@ -32,7 +32,10 @@ GRAMS_PER_LANGUAGE = 20_000
 PROBES = 3
 #: Cells of the filter for each 4-gram of one language.
 CELLS_PER_GRAM = 32
-MOST_LANGUAGES = 64
+#: Bits of a word of a cell; a cell has as many words as the languages need.
+WORD = 64
+#: Bytes of text that are looked at together.
+TOGETHER = 1 << 20
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -86,15 +89,15 @@ class LanguageModel:
     def build(known: dict[str, np.ndarray]) -> LanguageModel:
         """From the 4-gram hashes of each language."""
         languages = tuple(sorted(known))
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; a cell has {MOST_LANGUAGES} bits")
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages))
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if np.iinfo(t).bits >= len(languages)), np.uint64)
         most = max((len(g) for g in known.values()), default=1)
-        cells = np.zeros(1 << int(CELLS_PER_GRAM * most - 1).bit_length(), kind)
-        for bit, language in enumerate(languages):
-            for at in LanguageModel._probes(np.asarray(known[language], np.uint64), len(cells)):
-                cells[at] |= kind(1 << bit)
-        filled = np.array([((cells >> kind(bit)) & kind(1)).mean() for bit in range(len(languages))])
+        cells = np.zeros((-(-len(languages) // WORD), 1 << int(CELLS_PER_GRAM * max(most, 1) - 1).bit_length()), kind)
+        filled = np.zeros(len(languages))
+        for k, language in enumerate(languages):
+            word, bit = cells[k // WORD], kind(k % WORD)
+            for at in LanguageModel._probes(np.asarray(known[language], np.uint64), len(word)):
+                word[at] |= kind(1) << bit
+            filled[k] = ((word >> bit) & kind(1)).mean()
         return LanguageModel(languages, cells, filled**PROBES)
 
     @staticmethod
@@ -106,13 +109,16 @@ class LanguageModel:
         hashes, sizes, lettered = grams(texts)
         if not len(texts) or not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        probes = self._probes(hashes, len(self.cells))
-        held = self.cells[probes[0]]
-        for at in probes[1:]:
-            held &= self.cells[at]
+        probes = self._probes(hashes, self.cells.shape[1])
         starts = np.cumsum(sizes) - sizes
-        kind = held.dtype.type
-        hits = np.stack([np.add.reduceat((held >> kind(bit)) & kind(1), starts, dtype=np.int64) for bit in range(len(self.languages))], axis=1)
+        kind, counts = self.cells.dtype.type, []
+        for first, cells in zip(range(0, len(self.languages), WORD), self.cells, strict=True):
+            held = cells[probes[0]]
+            for at in probes[1:]:
+                held &= cells[at]
+            bits = range(min(WORD, len(self.languages) - first))
+            counts += [np.add.reduceat((held >> kind(bit)) & kind(1), starts, dtype=np.int64) for bit in bits]
+        hits = np.stack(counts, axis=1)
         real = (hits - sizes[:, None] * self.false_rates) / (1 - self.false_rates)
         best = real.argmax(axis=1)
         score = np.where(lettered, np.clip(real[np.arange(len(texts)), best] / sizes, 0, 1), 0.0)
@@ -124,10 +130,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     A language with more than ``sample`` rows takes part with about that many, chosen by a hash of
     their ids; the texts that are used are used whole.  What comes to the driver is the filter's
-    content, at most ``GRAMS_PER_LANGUAGE`` hashes for each language.
+    content, at most ``GRAMS_PER_LANGUAGE`` hashes for each language.  Repeated rows count again; rows without an id
+    are drawn all or none; without any row the model knows no language.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModel.build({})
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
@@ -137,7 +144,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     def count(batches):
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for start, part in slices(batch.column(1)):
+            for start, part in slices(batch.column(1), TOGETHER):
                 hashes, sizes, _ = grams(part.to_pylist())
                 of = np.repeat(np.arange(len(part)), sizes)
                 here = np.array(langs[start : start + len(part)])
@@ -154,12 +161,15 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 
 def predicted(model: LanguageModel, text: str | Column) -> Column:
-    """Struct ``(lang_pred, score)`` of a text column; null and letterless texts are ``und`` with score 0."""
+    """Struct ``(lang_pred, score)`` of a text column; null and letterless texts are ``und`` with score 0.
+
+    Of languages that fit alike the first in the order of their names is given; long texts are read whole.
+    """
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         names, scores = [], [np.zeros(0)]
-        for _, part in slices(texts):
+        for _, part in slices(texts, TOGETHER):
             lang, score = model.predict(part.to_pylist())
             names += lang
             scores.append(score)
@@ -169,7 +179,10 @@ def predicted(model: LanguageModel, text: str | Column) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row; repeated rows and null ids stay as they are."""
+    """``(doc_id, lang_pred, score)`` of every row; repeated rows and null ids stay as they are.
+
+    A model that knows no language answers ``und`` with score 0.  An empty table gives an empty result; other columns are ignored.
+    """
     ship(docs.sparkSession)
     pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return pairs.select("doc_id", predicted(model, "text").alias("p")).select("doc_id", "p.lang_pred", "p.score")
