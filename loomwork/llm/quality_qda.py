@@ -104,6 +104,11 @@ class QualityModel:
     constants: tuple[float, ...]
     only: int | None = None
 
+    @property
+    def learned(self) -> bool:
+        """Whether both classes were there; if not, every score is the one class that was, or 0."""
+        return self.only is None
+
     @staticmethod
     def build(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> QualityModel:
         """From (count, sum, sum of outer products) of each class."""
@@ -143,7 +148,9 @@ class QualityModel:
 def learn(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:
     """Learn from ``found`` (doc_id, statistics) joined with the labels 0 and 1; null labels are left out.
 
-    All labelled rows take part.  The executors sum counts, statistics and outer products for each
+    All labelled rows take part; a document with several labels, or an id on several rows, counts once for each
+    pair of rows, and null ids match no label.  Without rows of both labels the model has learned nothing (``learned``).
+    The executors sum counts, statistics and outer products for each
     task, Spark adds these up by position, and only the sums come to the driver.
     """
     width = len(STATISTICS)
@@ -171,7 +178,7 @@ def learn(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
 
 
 def scored(model: QualityModel, found: str | Column) -> Column:
-    """Score (0 to 1) of a column of statistics."""
+    """Score (0 to 1) of a column of statistics; every row has one, empty texts too."""
     width = len(STATISTICS)
 
     @F.arrow_udf("double")

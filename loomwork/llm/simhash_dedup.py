@@ -14,8 +14,6 @@ components are those of the full link graph.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,17 +22,12 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.batches import ids_and_texts, map_texts
 from loomwork.operators.components import connected_components
-from loomwork.plans.lineage import cut, fresh_folder
-from loomwork.plans.shipping import ship
+from loomwork.plans.lineage import cut
 
 SEED = 42
 BITS = 64
 RADIUS = 4
 SHINGLE_WORDS = 4
-#: One text in so many is looked through for frequent shingles, and in how many of these a frequent one stands at least.
-FREQUENT_SAMPLE, FREQUENT = 16, 4
-#: Most frequent shingles that travel to the workers.
-MOST_FREQUENT = 1_000_000
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -77,17 +70,18 @@ def segments(radius: int, bits: int = BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def variants(fp: Column, radius: int) -> Column:
+def variants(fp: Column, radius: int, struck: int = 1) -> Column:
     """Array of the keys of all one-wildcard segment variants.
 
-    A key is the segment without the struck-out bit, followed by the number of that bit, which is
-    unique over all segments.
+    A wildcard strikes out ``struck`` neighbouring bits.  With one, a key stands for every place of the
+    differing bit; wider ones need fewer keys and still cover each such place.  A key is the segment without
+    the struck-out bits, followed by the number of the lowest of them, which is unique over all segments.
     """
     keys = []
     for low, width in segments(radius):
         held = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) if width < BITS else fp
-        for bit in range(width):
-            masked = held.bitwiseAND(F.lit(~(1 << bit) if bit < 63 else (1 << 63) - 1))
+        for bit in range(0, width, struck):
+            masked = held.bitwiseAND(F.lit(~(((1 << min(struck, width - bit)) - 1) << bit)))
             keys.append(F.shiftleft(masked, 6).bitwiseOR(F.lit(low + bit)))
     return F.array(*keys)
 
@@ -96,6 +90,15 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` dealt over all partitions, for what makes many rows of each.
+
+    It deals by a hash of ``by``: dealing by a column that the rows are dealt by already would be left out of the
+    plan, and their few partitions kept.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(by))
+
+
 def first_shared(key: Column, x: Column, radius: int) -> Column:
     """Whether ``key`` is the first of the variants that two fingerprints with difference ``x`` share.
 
@@ -115,9 +118,7 @@ def linked_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ``component`` is the smallest linked ``fp``.  ``fps`` has the one column ``fp``, without repeats.
     ``radius`` must leave segments of at most 58 bits, so it is at least 2.
     """
-    # The variants are 64 times as many rows, so the fingerprints are spread over all partitions first.
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    index = spread.select("fp", F.explode(variants(F.col("fp"), radius)).alias("key"))
+    index = spread(fps, "fp").select("fp", F.explode(variants(F.col("fp"), radius)).alias("key"))
     buckets = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lead")).where("n > 1")
     to_lead = (F.col("fp") != F.col("lead")) & (distance("fp", "lead") <= radius)
     members = cut(index.join(buckets.withColumnRenamed("key", "bucket"), (F.col("key") == F.col("bucket")) & (to_lead | (F.col("n") > 2))).drop("bucket"))
@@ -160,197 +161,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = homes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = homes.join(smallest, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def word_fingerprints(text: bytes) -> bytes:
-    """Two 64-bit SimHashes, end to end, of a text's distinct words: the halves of their XXH3 128-bit hashes."""
-    words = set(text.lower().split())
-    if not words:
-        return bytes(2 * BITS // 8)
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED) for w in words]), np.uint8).reshape(len(words), -1)
-    counts = np.zeros(2 * BITS, np.int64)
-    for part in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[part : part + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(words), bitorder="little").tobytes()
-
-
-def _prints(pairs: DataFrame) -> DataFrame:
-    """``(doc_id, whole, fp_0, fp_1)``: a hash of the text and the fingerprints of its distinct words."""
-
-    def kernel(texts: pa.Array) -> dict[str, pa.Array]:
-        raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-        fps = np.frombuffer(b"".join(map(word_fingerprints, raw)), np.int64).reshape(-1, 2)
-        return {"whole": pa.array([xxhash.xxh3_128_digest(t) for t in raw], pa.binary()), "fp_0": pa.array(fps[:, 0]), "fp_1": pa.array(fps[:, 1])}
-
-    return map_texts(pairs, kernel, "whole binary, fp_0 long, fp_1 long")
-
-
-def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """``rows`` with ``text`` replaced by ``set``: hashes of its distinct shingles."""
-    rest = [c for c in rows.columns if c != "text"]
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    hashed = rows.select(*rest, F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
-    n = F.size("w")
-    rolling = F.transform(F.slice("w", 1, F.greatest(n - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, shingle)]))
-    return hashed.select(*rest, F.array_distinct(F.when(n >= shingle, rolling).otherwise(F.array(F.xxhash64("w")))).alias("set"))
-
-
-def _alike(tried: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those pairs ``(a, b)`` of ids whose texts' distinct shingles are ``similarity`` alike (Jaccard)."""
-    involved = tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Rows repeated under one id meet as one row; their texts are hashed, which keeps the aggregate small.
-    sets = _shingle_sets(texts.join(involved, "doc_id"), shingle).select("doc_id", "set", F.xxhash64("set").alias("whole"))
-    sets = cut(sets.groupBy("doc_id", "whole").agg(F.first("set").alias("set")).drop("whole"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    met = tried.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return met.where(both * (1 + similarity) >= (F.size("set_a") + F.size("set_b")) * similarity - 1e-9).select("a", "b")
-
-
-def verified_links(prints: DataFrame, texts: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
-    """``(node, component)`` of the ids in ``prints (id, fp_0, fp_1)`` that have a verified link.
-
-    A pair is a candidate if either of its two fingerprints differs in at most ``radius`` bits.  As in
-    ``linked_components`` members of a bucket meet its smallest id first, and after that only members of
-    different components meet, so a large group of copies is never written out as pairs.
-    """
-    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    second = F.transform(variants(F.col("fp_1"), radius), lambda v: v.bitwiseOR(F.lit(1 << 40)))
-    index = spread.select("id", F.explode(F.concat(variants(F.col("fp_0"), radius), second)).alias("key"))
-    buckets = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
-    # Fingerprints join only the members of shared buckets, so that the index is shuffled without them.
-    shared = cut(index.join(buckets, "key")).join(prints, "id").withColumn("k", F.shiftright("key", 40).cast("int"))
-    members = shared.select("id", "key", "n", "lead", "k", F.when(F.col("k") == 0, F.col("fp_0")).otherwise(F.col("fp_1")).alias("fp"))
-    led = members.where("id <> lead").groupBy("id", "lead", "k").agg(F.min("fp").alias("fp"))
-    leads = prints.select(F.col("id").alias("lead"), F.posexplode(F.array("fp_0", "fp_1")).alias("k", "lead_fp"))
-    tried = cut(led.join(leads, ["lead", "k"]).where(distance("fp", "lead_fp") <= radius).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    first = connected_components(_alike(tried, texts, shingle, similarity), "a", "b")
-
-    placed = members.where("n > 2").select("key", "id", "fp").join(first.select(F.col("node").alias("id"), F.col("component").alias("of")), "id", "left")
-    placed = cut(placed.select("key", "id", "fp", F.coalesce("of", "id").alias("of")))
-    shares = placed.groupBy("key", "of").agg(F.count(F.lit(1)).alias("share"))
-    mixed = shares.groupBy("key").agg(F.max_by("of", F.struct("share", "of")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "main")
-    there = placed.join(mixed, "key")
-    rest = there.where("of <> main").select("key", F.col("id").alias("id_a"), F.col("fp").alias("fp_a"), F.col("of").alias("of_a"))
-    every = there.select(F.col("key").alias("key_b"), F.col("id").alias("id_b"), F.col("fp").alias("fp_b"), F.col("of").alias("of_b"))
-    met = first_shared(F.col("key"), F.col("fp_a").bitwiseXOR(F.col("fp_b")), radius)
-    apart = rest.join(every, (F.col("key") == F.col("key_b")) & (F.col("of_a") != F.col("of_b")) & (distance("fp_a", "fp_b") <= radius) & met)
-    more = cut(apart.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return connected_components(first.toDF("b", "a").select("a", "b").union(_alike(more, texts, shingle, similarity)), "a", "b")
-
-
-def _frequent(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted hashes of shingles that stand in many of ``texts (whole, text)``.
-
-    They only decide in which order shingles are looked at, so a sample will do and any answer is right.
-    """
-    some = texts.where(F.pmod(F.xxhash64("whole"), F.lit(FREQUENT_SAMPLE)) == 0).dropDuplicates(["whole"])
-    counts = _shingle_sets(some, shingle).select(F.explode_outer("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    counts, least = cut(counts.where(F.col("n") >= FREQUENT)), FREQUENT
-    while counts.where(F.col("n") >= least).count() > MOST_FREQUENT:
-        least *= 2
-    return np.sort(np.array([r.h for r in counts.where(F.col("n") >= least).select("h").collect()], np.int64))
-
-
-def _prefix_size(n: Column, similarity: float) -> Column:
-    return (n - F.ceil(n * similarity - 1e-6) + 1).cast("int")
-
-
-def prefixes(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(id, n, prefix)`` of each distinct text: its smallest id, its number of shingles and the first of them.
-
-    The order is that of the hashes, frequent shingles last.  Two sets that are ``similarity`` alike share that part
-    of each at least, so they can't differ in all of the first ``n - ceil(similarity * n) + 1`` shingles.
-    """
-    texts = pairs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("whole"), "text")
-    frequent = _frequent(texts.select("whole", "text"), shingle)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = batch.column(2)
-            n = np.diff(sets.offsets.to_numpy())
-            values, of = sets.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
-            late = frequent[at] == values if len(frequent) else np.zeros(len(values), bool)
-            order = np.lexsort((values, late, of))
-            rank = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-            size = n - np.ceil(n * similarity - 1e-6).astype(np.int64) + 1
-            first = values[order][rank < np.repeat(size, n)]
-            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(first))], names=["doc_id", "whole", "n", "prefix"])
-
-    ship(pairs.sparkSession)
-    found = _shingle_sets(texts, shingle).select("doc_id", "whole", "set").mapInArrow(run, "doc_id long, whole string, n int, prefix array<long>")
-    return found.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("id", "n", "prefix")
-
-
-def left_pairs(pairs: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(a, b, of_a, of_b, shared)``: pairs of different components of ``linked (node, component)`` that may be alike.
-
-    No pair that is ``similarity`` alike is missing: such a pair shares a shingle of both prefixes, and what it
-    shares there and after the prefixes is enough.  ``shared`` is the number of common shingles of the prefixes.
-    """
-    labels = linked.select(F.col("node").alias("id"), F.col("component").alias("of"))
-    texts = cut(prefixes(pairs, shingle, similarity).join(labels, "id", "left").select("id", "n", F.coalesce("of", "id").alias("of"), "prefix"))
-    index = texts.select(F.explode_outer("prefix").alias("h"), "id", "n", "of")
-    mixed = index.groupBy("h").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("h")
-    met = cut(index.join(mixed, "h"))
-    shares = met.groupBy("h", "of").agg(F.count(F.lit(1)).alias("share"))
-    main = shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main"))
-    there = met.join(main, "h")
-    rest = there.where("of <> main").select("h", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("of").alias("of_x"))
-    every = there.select(F.col("h").alias("h_y"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("of").alias("of_y"), (F.col("of") == F.col("main")).alias("in_main"))
-    sized = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-6
-    both = rest.join(every, (F.col("h") == F.col("h_y")) & (F.col("of_x") != F.col("of_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & sized)
-    up = F.col("x") < F.col("y")
-    ends = [F.when(up, F.col(f"{c}x")).otherwise(F.col(f"{c}y")).alias(f"{c}a") for c in ("", "n_", "of_")]
-    ends += [F.when(up, F.col(f"{c}y")).otherwise(F.col(f"{c}x")).alias(f"{c}b") for c in ("", "n_", "of_")]
-    shared = both.select(*ends).groupBy("a", "b", "n_a", "n_b", "of_a", "of_b").agg(F.count(F.lit(1)).alias("shared"))
-    after = F.greatest(*[F.col(n) - _prefix_size(F.col(n), similarity) for n in ("n_a", "n_b")])
-    enough = (F.col("shared") + after) * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6
-    return cut(shared.where(enough).groupBy("a", "b", "of_a", "of_b").agg(F.max("shared").alias("shared")))
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` from files: a checkpoint hands on estimates of sizes, which grow with every join until planning stalls."""
-    folder = fresh_folder(df.sparkSession, "links")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def completed_links(pairs: DataFrame, linked: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``linked (node, component)`` with the components joined between which a pair is ``similarity`` alike.
-
-    The likeliest pair between two components is tried first; the others only where that leaves them apart.
-    """
-    left = _written(left_pairs(pairs, linked, shingle, similarity))
-    for last in (False, True):
-        likely = left if last else left.groupBy("of_a", "of_b").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
-        links = _written(_alike(_written(likely.select("a", "b")), pairs, shingle, similarity))
-        linked = _written(connected_components(linked.toDF("b", "a").select("a", "b").union(links), "a", "b"))
-        if not last:
-            now = [linked.select(F.col("node").alias(k), F.col("component").alias(f"now_{k}")) for k in ("a", "b")]
-            moved = left.select("a", "b", "of_a", "of_b").join(now[0], "a", "left").join(now[1], "b", "left")
-            left = _written(moved.select("a", "b", F.coalesce("now_a", "of_a").alias("at_a"), F.coalesce("now_b", "of_b").alias("at_b")))
-            left = left.where("at_a <> at_b")
-            if left.isEmpty():
-                break
-    return linked
-
-
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 5, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, kept_id)`` of the documents that are not the smallest id of their group of near duplicates.
-
-    Equal texts are linked, and those whose distinct ``shingle``-word shingles are ``similarity`` alike (Jaccard);
-    groups are the connected components.  Pairs of which either of two SimHashes of their distinct words differs in at
-    most ``radius`` bits are tried first.  These fingerprints are closer for near copies than ones of longer shingles or of all
-    occurrences: an edit changes fewer features, and frequent words do not outweigh the rest.  The pairs between the
-    components found, as of texts with a block added or cut off, then come from a prefix join, which misses none.  Null texts
-    count as empty.  Rows without an id are never listed; an id that stands on several rows is one document, listed once.
-    """
-    pairs = ids_and_texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    marked = cut(_prints(pairs))
-    classes = cut(marked.groupBy("whole", "fp_0", "fp_1").agg(F.min("doc_id").alias("id")))
-    linked = _written(verified_links(classes.select("id", "fp_0", "fp_1").distinct(), pairs, radius, shingle, similarity))
-    linked = completed_links(pairs, linked, shingle, similarity)
-    kept = classes.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("whole", F.coalesce("component", "id").alias("kept_id"))
-    return marked.select("doc_id", "whole").join(kept, "whole").where("doc_id <> kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))

@@ -84,37 +84,3 @@ def test_every_row_has_its_component(odd, spark):
 
 def test_empty_table(none_at_all):
     assert sd.near_duplicates(none_at_all).collect() == []
-
-
-def test_verified_duplicates(make, odd, none_at_all):
-    base = [f"w{k}" for k in range(300)]
-    near = base[:150] + ["changed"] + base[151:]
-    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, " ".join(reversed(base))), (None, " ".join(base)), (6, "tiny"), (7, "tiny"), (8, None), (9, None), (10, "")]
-    found = {r.doc_id: r.kept_id for r in sd.verified_duplicates(make(rows)).collect()}
-    assert found == {2: 1, 3: 1, 7: 6, 9: 8, 10: 8}
-    assert {r.doc_id for r in sd.verified_duplicates(odd).collect()} <= {1, 2}
-    assert sd.verified_duplicates(none_at_all).collect() == []
-
-
-def test_block_edits_by_brute_force(make):
-    rng = random.Random(3)
-    rows, vocabulary = [], [f"w{int(3000 * rng.random() ** 3)}" for _ in range(20000)]
-    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    passage = draw(80)
-    for _ in range(40):  # a text, with a block appended, cut off at either end, put in the middle, and a chain of blocks
-        base = draw(rng.choice([6, 30, 100, 400, 900]))
-        block = draw(int(len(base) * rng.uniform(0.1, 0.3)))
-        at, cut_off = rng.randrange(len(base)), int(len(base) * rng.uniform(0.05, 0.24))
-        rows += [base, base + block, base[cut_off:], base[:-cut_off], base[:at] + block + base[at:], base + block + block[::-1]]
-    rows += [passage + draw(rng.randrange(60)) for _ in range(80)] + [draw(200) + passage + draw(100) for _ in range(20)]
-    rng.shuffle(rows)
-    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in rows]
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                low, high = sorted((group[a], group[b]))
-                group = [low if g == high else g for g in group]
-    want = {i: g for i, g in enumerate(group) if i != g}
-    found = {r.doc_id: r.kept_id for r in sd.verified_duplicates(make([(i, " ".join(w)) for i, w in enumerate(rows)])).collect()}
-    assert len(want) > 100 and found == want
