@@ -1,5 +1,8 @@
 from itertools import combinations
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from loomwork.llm import decontaminate, language_id, piece_codec, quality_qda
 from loomwork.plans.lineage import fresh_folder
@@ -52,3 +55,48 @@ def test_each_stage_does_its_operators_work(spark, sf):
 def test_run_is_the_stages(spark, sf):
     out = cp.run(spark, sf)
     assert out.count() == out.select("doc_id").distinct().count() > 50
+
+
+@pytest.fixture(scope="module")
+def bare(spark, tmp_path_factory):
+    """A folder with empty labels and an empty benchmark."""
+    folder = f"file://{tmp_path_factory.mktemp('bare')}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_nothing_learnt_keeps_all(spark, bare, odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language(spark, unlabelled, bare).count() == odd.count()
+    assert cp.quality(spark, odd, bare).count() == odd.count()
+    assert cp.decontamination(spark, odd, bare).count() == odd.count()
+
+
+def test_clashing_columns_come_out_as_they_are(spark, sf, make):
+    rows = [(k, f"the text of document {k} is about the thing that was said in the year {k}") for k in range(40)]
+    docs = make(rows)
+    for c in ("row", "p", "digest", "whole", "keeper", "_score", "_language", "doc", "statistics"):
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert r["row"] == "mine row" and r["_score"] == "mine _score" and r["statistics"] == "mine statistics" and r.score == "clash"
+
+
+def test_odd_rows_and_empty_tables(spark, sf, odd, none_at_all):
+    for k, (_, stage) in enumerate(cp.STAGES):
+        assert stage(spark, none_at_all, sf).collect() == []
+        out = stage(spark, odd, sf)
+        assert out.count() <= odd.count()
+        if k < 4:
+            assert out.columns == odd.columns
+    assert cp.encoding(spark, odd, sf).count() == odd.count()
+
+
+def test_a_row_without_id_goes_alone(spark, bare, make):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{bare}-2/benchmark.parquet")
+    out = cp.decontamination(spark, make([(None, f"x {item} y"), (None, "clean text here"), (3, "more clean text"), (3, item)]), f"{bare}-2")
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("3", "more clean text"), ("None", "clean text here")]
