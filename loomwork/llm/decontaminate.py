@@ -3,33 +3,34 @@
 Texts and items become sequences of lower-cased words (runs of letters and digits) and these become
 5-word shingles.  A window of an item's size is compared with the items of that size:
 
-1. SimHash of the window's shingles, weighted by their number, against the items' fingerprints: a multi-index of
-   ``RADIUS + 1`` blocks, of which at least one is equal for every fingerprint within the radius.
+1. SimHash of the window's shingles, weighted by their number, against the items' fingerprints.  The fingerprint has six
+   blocks; of two fingerprints within ``RADIUS`` bits one block differs in at most ``NEAR`` bits, so items are indexed under
+   all values that near to each of their blocks, and windows ask for their own blocks.
 2. Exact weighted similarity of the shingles (sum of minima over sum of maxima) of the candidates.
 
-Windows are laid only where they can pass.  A window that is ``SIMILARITY`` alike shares a known part of its
-shingles with an item, which leaves so few edits that a certain number of the shared ones stand at one offset; these
-offsets are counted first, over all shingles of all texts, and windows begin at them and as far beside them as
-the edits allow.  This loses no window.
+Fingerprints of all windows of all sizes would be some ten thousand for each text.  So windows are laid by a count first: for
+each text and item, how many shingles (with their numbers) a window shares with the item is summed up over all its
+positions at once, wherever in the window they stand, and the best window is laid if the count suffices.  This loses
+no window, moved, swapped and repeated blocks included.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomwork.plans.lineage import cut
+from loomwork.plans.lineage import cut, written
 
 WORDS = 5
 SIMILARITY = 0.8
 BITS = 64
-#: Two texts that are 0.8 alike differ in 9.7 of 64 bits on average, with a deviation of 2.9.
-RADIUS = 19
-#: Most rows of a side that is broadcast; larger sides are joined by shuffling.
+BLOCKS, NEAR = 6, 3
+#: Bits within which fingerprints surely meet.  Of random pairs of windows that are just 0.8 alike (10 to 400 shingles) none in
+#: some 200,000 differed in more; on average they differ in 6 to 10.
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Most rows (of fixed width, at most 40 bytes) of a side that is broadcast; larger sides are joined by shuffling.
 MOST_BROADCAST = 1_000_000
-#: Bits of a counter while the bits of a window's shingles are added up.
-LANE = 16
-MOST_SHINGLES = (1 << (LANE - 1)) - 1
 
 
 def shingles(text: Column) -> tuple[Column, Column]:
@@ -57,97 +58,110 @@ def shingled(rows: DataFrame, text_col: str) -> DataFrame:
 def with_simhash(df: DataFrame, s: str = "s", to: str = "fp") -> DataFrame:
     """``df`` with the 64-bit SimHash of an array of hashes: a bit is 1 if set in over half of them.
 
-    The bits are added up in 16-bit lanes, four in a long.
+    The bits are added up in lanes of a long, four of 16 bits or, for more hashes than these can count, two of 32.
     """
-    mask = sum(1 << (LANE * k) for k in range(BITS // LANE))
-    lanes = f"transform(sequence(0, {LANE - 1}), low -> aggregate({s}, 0L, (a, h) -> a + (shiftrightunsigned(h, low) & {mask}L)))"
-    count = f"shiftrightunsigned(lanes[k % {LANE}], cast(k div {LANE} as int) * {LANE}) & {(1 << LANE) - 1}L"
-    bits = f"aggregate(sequence(0, {BITS - 1}), 0L, (a, k) -> a | if(({count}) * 2 > size({s}), shiftleft(1L, k), 0L))"
-    # As the variable of an outer lambda the lanes are added up once; a column of their own would be
-    # folded into the inner lambda and added up for every bit.  The result is declared not null: a filter on
-    # nulls, which Spark would infer from a join and push down, would compute the fingerprint once more.
-    return df.withColumn(to, F.expr(f"coalesce(transform(array({lanes}), lanes -> {bits})[0], 0L)"))
 
+    def bits(lane: int) -> str:
+        mask = sum(1 << (lane * k) for k in range(BITS // lane))
+        lanes = f"transform(sequence(0, {lane - 1}), low -> aggregate({s}, 0L, (a, h) -> a + (shiftrightunsigned(h, low) & {mask}L)))"
+        count = f"shiftrightunsigned(lanes[k % {lane}], cast(k div {lane} as int) * {lane}) & {(1 << lane) - 1}L"
+        each = f"aggregate(sequence(0, {BITS - 1}), 0L, (a, k) -> a | if(({count}) * 2 > size({s}), shiftleft(1L, k), 0L))"
+        # As the variable of an outer lambda the lanes are added up once; a column of their own would be
+        # folded into the inner lambda and added up for every bit.
+        return f"transform(array({lanes}), lanes -> {each})[0]"
 
-def blocks(fp: Column) -> Column:
-    """Array of ``(block, value)`` of a fingerprint, as single longs; ``RADIUS + 1`` of them."""
-    edges = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    parts = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        value = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        parts.append(value * (RADIUS + 1) + k)
-    return F.array(*parts)
+    # The result is declared not null: a filter on nulls, which Spark would infer from a join and push down, would
+    # compute the fingerprint once more.
+    return df.withColumn(to, F.expr(f"coalesce(if(size({s}) < 32768, {bits(16)}, {bits(32)}), 0L)"))
 
 
-def first_equal_block(x: Column) -> Column:
-    """Number of the first block in which two fingerprints with difference ``x`` agree; null if there is none."""
-    edges = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    found = F.lit(None).cast("int")
-    for k, (a, b) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
-        agrees = F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0
-        found = F.when(agrees, F.lit(k)).otherwise(found)
-    return found
+def blocks(fp: Column) -> list[Column]:
+    """The blocks of a fingerprint, each of 10 or 11 bits."""
+    edges = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
+    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def numbered(s: Column) -> Column:
-    """The multiset of an array of hashes as a set: each hash with its occurrence's number."""
-    return F.transform(s, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(s, h)))
+def asked(fp: Column) -> Column:
+    """Keys of the blocks as they are."""
+    return F.array(*[v * BLOCKS + k for k, v in enumerate(blocks(fp))])
 
 
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of minima over sum of maxima of two multisets, given as their ``numbered`` sets."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def indexed(fp: Column) -> Column:
+    """Keys of all values within ``NEAR`` bits of each block."""
+    near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << -(-BITS // BLOCKS)) - 1).cast("long")), lambda x: F.bit_count(x) <= NEAR)
 
+    def keys(k: int, v: Column) -> Column:
+        return F.transform(near, lambda x: v.bitwiseXOR(x) * BLOCKS + k)
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+    return F.flatten(F.array(*[keys(k, v) for k, v in enumerate(blocks(fp))]))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, which is in files and has no arrays, as a side of a join."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item_id, s, n, fp, marks)``; ``n`` is 0 for items without words."""
-    rows = shingled(benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")), "text")
-    rows = rows.select("item_id", "s", F.size("s").alias("n"), F.sort_array("s").alias("sorted"))
-    return with_simhash(rows).select("item_id", "s", "n", "fp", numbered(F.col("sorted")).alias("marks"))
+    """``(item, item_id, s, n)``; ``item`` stands for rows with the same id and text, ``n`` is 0 for those without words."""
+    rows = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
+    rows = shingled(rows.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text"), "text")
+    return rows.select("item", "item_id", "s", F.size("s").alias("n"))
+
+
+def best_windows(placed: DataFrame, spots: DataFrame) -> DataFrame:
+    """``(key, n, start)``: for each text and item the first window that shares most with it, if that is enough.
+
+    ``placed`` has ``(key, size, pos, h)``, the shingles of the texts, and ``spots`` ``(item, n, h, c)``, how often they stand in the
+    items.  An occurrence counts for the windows that begin after the one ``c`` before it; these windows are a range, so
+    the sums over all windows are running sums of the ranges' ends.
+    """
+    hits = placed.join(spots, "h").groupBy("key", "item", "h").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first("size").alias("size"), F.first("n").alias("n"), F.first("c").alias("c"))
+    # Ranges are made before they are exploded, so that no row carries the array.
+    first = lambda pos, i: F.greatest(F.coalesce(F.get("at", i - F.col("c")) + 1, F.lit(0)), pos - F.col("n") + 1)
+    each = hits.select("key", "item", "size", "n", F.inline(F.transform("at", lambda pos, i: F.struct(first(pos, i).alias("first"), pos.alias("pos")))))
+    ranges = each.where(F.col("first") <= F.greatest(F.col("size") - F.col("n"), F.lit(0)))
+    ends = F.array(F.struct(F.col("first").alias("start"), F.lit(1).alias("d")), F.struct((F.col("pos") + 1).alias("start"), F.lit(-1).alias("d")))
+    steps = ranges.select("key", "item", "size", "n", F.inline(ends)).groupBy("key", "item", "size", "n", "start").agg(F.sum("d").alias("d"))
+    shared = F.sum("d").over(Window.partitionBy("key", "item").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    counted = steps.select("key", "item", "size", "n", "start", shared.alias("shared"))
+    enough = F.col("shared") * (1 + SIMILARITY) >= (F.col("n") + F.least("n", "size")) * SIMILARITY - 1e-9
+    best = F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("b")
+    return counted.where(enough).groupBy("key", "item", "n").agg(best).select("key", "n", (-F.col("b.back")).alias("start")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, similarity, start, size)``: a document's best window for each item it leaks.
 
-    ``start`` and ``size`` count shingles; of equally similar windows the first is given.  Null texts are
+    ``start`` and ``size`` count shingles; of equally similar windows the first of those that begin with a shingle of the
+    item, or end with the text, is given.  A text shorter than the item is one window.  Null texts are
     empty; texts and items without words match nothing; those of fewer than five words match only whole
-    texts with the same words.  Repeated rows give one row; a null ``doc_id`` or ``item_id`` is kept as it is.  Other
-    columns are ignored; an empty table on either side gives an empty result.
+    texts with the same words.  Items and texts may be of any length.  Repeated rows give one row; a null ``doc_id`` or
+    ``item_id`` is kept as it is.  Other columns are ignored; an empty table on either side gives an empty result.
     """
+    # Cut before the filter, which would be pushed into the shingles and make them once for each word.
     items = cut(items_of(benchmark)).where("n > 0")
-    most = items.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("items")).first()
-    if most.most > MOST_SHINGLES:
-        raise ValueError(f"an item has {most.most} shingles; the fingerprint counts up to {MOST_SHINGLES}")
+    spots = written(items.select("item", "n", F.explode("s").alias("h")).groupBy("item", "n", "h").agg(F.count(F.lit(1)).cast("int").alias("c")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
-    spots = items.select("n", F.posexplode("s").alias("at", "h")).distinct()
     # An outer explode: for an inner one Spark infers a filter and pushes it below the projections, which
     # would compute the shingles twice.  Its row for a text without shingles has a null hash and joins nothing.
-    placed = shingled(keyed.select("key", "text"), "text").select("key", F.posexplode_outer("s").alias("pos", "h"))
-    offsets = placed.join(_sized(spots, most.rows), "h").groupBy("key", "n", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("shared"))
-    spare = 1 - 2 * SIMILARITY / (1 + SIMILARITY)  # the part of a window's shingles that may be lost
-    needed = F.ceil((1 - spare) * F.col("n") / (1 + spare * F.col("n") / (WORDS - 1)) - 1e-9)
-    beside = F.floor(spare * F.col("n") + 1e-9).cast("int")
-    near = offsets.where(F.col("shared") >= needed).select("key", "n", F.explode(F.sequence(F.col("offset") - beside, F.col("offset") + beside)).alias("start"))
-    windows = cut(near.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
-
-    hit = keyed.join(_sized(windows, windows.count()), "key").select("doc_id", "text", "windows")
-    laid = shingled(hit, "text").select("doc_id", "s", F.explode("windows").alias("x"))
-    laid = laid.select("doc_id", "s", F.col("x.n").alias("n"), F.greatest(F.least(F.col("x.start"), F.size("s") - F.col("x.n")), F.lit(0)).alias("start"))
-    cuts = laid.select("doc_id", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("s")).dropDuplicates(["doc_id", "n", "start", "s"])
-    prints = with_simhash(cuts).select("doc_id", "n", "start", "s", "fp", F.explode_outer(blocks(F.col("fp"))).alias("block"))
-    listed = items.select("item_id", "marks", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), F.explode_outer(blocks(F.col("fp"))).alias("item_block"))
-    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    # A pair agrees in many blocks; it is met at the first of them only, so its similarity is worked out once.
-    once = F.pmod("block", F.lit(RADIUS + 1)) == first_equal_block(apart)
-    met = prints.join(_sized(listed, most.items * (RADIUS + 1)), (F.col("n") == F.col("item_n")) & (F.col("block") == F.col("item_block")) & (F.bit_count(apart) <= RADIUS) & once)
-    found = met.select("doc_id", "item_id", "start", "marks", F.size("s").alias("size"), F.sort_array("s").alias("sorted")).withColumn("own", numbered(F.col("sorted")))
-    found = found.select("doc_id", "item_id", "start", "size", weighted_similarity(F.col("own"), F.col("marks")).alias("similarity"))
+    placed = shingled(keyed.select("key", "text"), "text").select("key", F.size("s").alias("size"), F.posexplode_outer("s").alias("pos", "h"))
+    windows = written(best_windows(placed, _sized(spots)))
+
+    hit = keyed.join(_sized(windows), "key").select("doc_id", "text", "n", "start")
+    laid = shingled(hit, "text").select("doc_id", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("s"))
+    laid = laid.select("doc_id", "n", "start", F.xxhash64("doc_id", "start", "s").alias("window"), "s").dropDuplicates(["doc_id", "n", "start", "window"])
+    prints = cut(with_simhash(laid))
+    index = written(with_simhash(items).select("item", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), F.explode(indexed(F.col("fp"))).alias("near")))
+    asking = prints.select("window", "n", "fp", F.explode(asked(F.col("fp"))).alias("block"))
+    close = (F.col("n") == F.col("item_n")) & (F.col("block") == F.col("near")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    met = asking.join(_sized(index), close).select("window", "item").distinct()
+
+    inside = prints.select("window", "doc_id", "start", F.size("s").alias("size"), "s").join(met, "window")
+    counts = inside.select("window", "item", "doc_id", "start", "size", F.explode("s").alias("h")).groupBy("window", "item", "doc_id", "start", "size", "h").agg(F.count(F.lit(1)).alias("k"))
+    both = counts.join(_sized(spots), ["item", "h"]).groupBy("window", "item", "n", "doc_id", "start", "size").agg(F.sum(F.least("k", "c")).alias("m"))
+    found = both.select("item", "doc_id", "start", "size", (F.col("m") / (F.col("n") + F.col("size") - F.col("m"))).alias("similarity")).where(F.col("similarity") >= SIMILARITY - 1e-12)
+    named = found.join(items.select("item", "item_id"), "item")
     best = F.max_by(F.struct("similarity", "start", "size"), F.struct("similarity", (-F.col("start")).alias("first"), "size"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", "b.start", "b.size").where(F.col("similarity") >= SIMILARITY)
+    return named.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", "b.start", "b.size")

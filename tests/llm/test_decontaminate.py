@@ -35,7 +35,7 @@ def brute(docs, items):
 
 def found(spark, docs, items):
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    for c in ("key", "s", "h", "n", "start", "fp", "block", "item_id", "windows"):
+    for c in ("key", "s", "h", "n", "start", "fp", "block", "item_id", "windows", "item", "size", "pos", "c", "window"):
         d = d.withColumn(c, F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     return {(r.doc_id, r.item_id): r.similarity for r in dc.leaks(d, b).collect()}
@@ -63,9 +63,40 @@ def test_equals_brute_force(spark):
     assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
+def test_moved_swapped_and_repeated_blocks(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(900)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items, docs = [], []
+    for j, n in enumerate((104, 64, 200, 90)):
+        t = [f"i{j}x{k}" for k in range(n)]
+        items.append((j, " ".join(t)))
+        for at in (n // 2, n // 3, n // 4):
+            docs.append(draw(200) + t[at:] + t[:at] + draw(200))
+            docs.append(t[at:] + t[:at])
+            docs.append(draw(30) + t[:at] + t[:at] + t + t[at:])
+        third = n // 3
+        docs.append(draw(9) + t[2 * third :] + t[third : 2 * third] + t[:third] + draw(50))
+    items.append((9, " ".join(["again and again"] * 30)))
+    docs += [draw(40) + ["again", "and", "again"] * k + draw(40) for k in (20, 29, 30, 31, 60)]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want, got = brute(docs, items), found(spark, docs, items)
+    assert len(want) > 20 and want.keys() == got.keys()
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_long_items_and_long_repeats(spark):
+    rng = random.Random(22)
+    long = [f"w{rng.randrange(50000)}" for _ in range(40000)]
+    items = [(1, " ".join(long)), (2, "ha " * 4000)]
+    docs = [(1, " ".join(["before", *long, "after"])), (2, " ".join(long[20000:] + long[:20000])), (3, "ha " * 40000), (4, " ".join(long[:30000]))]
+    got = found(spark, docs, items)
+    assert got.keys() == {(1, 1), (2, 1), (3, 2)} and got[1, 1] == got[3, 2] == 1.0 and got[2, 1] > 0.999
+
+
 def test_simhash_by_brute_force(spark):
     rng = random.Random(12)
-    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 7, 300)]
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 7, 300, 33000)]
     for r in dc.with_simhash(spark.createDataFrame(rows, "s array<long>")).collect():
         bits = [sum((h >> k) & 1 for h in r.s) * 2 > len(r.s) for k in range(64)]
         assert r.fp % (1 << 64) == sum(1 << k for k, b in enumerate(bits) if b)
