@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,9 @@ from pyspark.sql.window import Window
 from loomwork.functions.text import body_text, canonical_json, first_list, first_truthy
 from loomwork.plans.lineage import cut
 
+#: Levels after which the rows found so far are cut from their lineage.
+CUT_EVERY = 50
+
 # Keys under which payloads hold their lists.
 POST_LISTS = ("posts", "items", "results")
 COMMENT_LISTS = ("comments", "items", "results", "thread")
@@ -41,24 +46,25 @@ def _listed(node: str, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "array<variant>") for k in keys])
 
 
-def flattened(payloads: DataFrame, id_col: str = "payload_id", payload: str = "payload", most_levels: int = 200) -> DataFrame:
+def flattened(payloads: DataFrame, id_col: str = "payload_id", payload: str = "payload") -> DataFrame:
     """``(payload_id, path, node, parent)``: every comment of every tree (CMT-2).
 
     ``path`` holds the positions from the root, so ordering by it gives pre-order; ``parent`` is the external id of the
-    nearest ancestor that has one.  The levels are unfolded one after the other, all trees at once.
+    nearest ancestor that has one.  The levels are unfolded one after the other, all trees at once, as many as there are.
     """
     roots = payloads.select(F.col(id_col).alias("payload_id"), F.posexplode(first_list(payload, *COMMENT_LISTS)).alias("at", "v"))
     level = roots.select("payload_id", F.array("at").alias("path"), F.to_json("v").alias("node"), F.lit(None).cast("string").alias("parent")).where("node LIKE '{%'")
     level = cut(level)
     out = level
-    for _ in range(most_levels):
+    for depth in count(1):
         own = F.coalesce(_field("node", "id", "comment_id"), F.col("parent"))
         children = level.select("payload_id", "path", own.alias("parent"), F.posexplode(_listed("node", CHILD_LISTS)).alias("at", "v"))
         level = cut(children.select("payload_id", F.array_append("path", F.col("at")).alias("path"), F.to_json("v").alias("node"), "parent").where("node LIKE '{%'"))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    raise RuntimeError(f"a tree has more than {most_levels} levels")
+        if depth % CUT_EVERY == 0:
+            out = cut(out)
 
 
 def users_of(nodes: DataFrame, node: str = "node") -> DataFrame:
@@ -118,19 +124,23 @@ def page_items(pages: DataFrame, payload: str = "payload", order: str = "page")
     return rows.withColumn("_key", key).withColumn("_place", place).where("_place = 1").select("page", "at", "node")
 
 
-def thread_depth(comments: DataFrame, most: int = 100) -> DataFrame:
-    """``(external_comment_id, depth)``: 0 for comments whose parent is not there, else one below it."""
+def thread_depth(comments: DataFrame) -> DataFrame:
+    """``(external_comment_id, depth)``: 0 for comments whose parent is not there, else one below it.
+
+    Threads may be of any depth; comments that are their own ancestors have none and are left out.  Ids must be unique.
+    """
     links = cut(comments.select("external_comment_id", F.col("parent_external_comment_id").alias("parent")))
     ids = links.select(F.col("external_comment_id").alias("parent"))
     level = cut(links.join(ids, "parent", "left_anti").select("external_comment_id", F.lit(0).alias("depth")))
     out = level
-    for depth in range(1, most + 1):
+    for depth in count(1):
         above = level.select(F.col("external_comment_id").alias("parent"))
         level = cut(links.join(above, "parent").select("external_comment_id", F.lit(depth).alias("depth")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    raise RuntimeError(f"a thread has more than {most} levels")
+        if depth % CUT_EVERY == 0:
+            out = cut(out)
 
 
 def ingest_counts(actions: DataFrame) -> DataFrame:

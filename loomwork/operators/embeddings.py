@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,7 +62,7 @@ def run_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.lit(True)).select("processed", "embedded", (F.col("processed") - F.col("embedded")).alias("skipped"))
 
 
-#: Most query vectors of one search, since they are broadcast.
+#: Query vectors that are broadcast together.
 MOST_QUERIES = 20_000
 
 
@@ -69,11 +70,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``(query_id, vec_id, rank, cosine)``: the ``k`` most alike vectors of each query (GR-15).
 
     Both sides have ``(vec_id, embedding)``.  The queries are the stated, bounded side: they travel to the vectors,
-    the best ``k`` for each query are found in 64 parts first and only those are ranked together.  More than
-    ``MOST_QUERIES`` queries are to be searched in several calls.
+    the best ``k`` for each query are found in 64 parts first and only those are ranked together.  More queries than
+    ``MOST_QUERIES`` are dealt into blocks, which are searched one after the other.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one search")
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    parts = [queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
+    return reduce(DataFrame.union, [_nearest(vectors, part, k) for part in parts])
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     unit = lambda df: df.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).select("vec_id", "e", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).where("norm > 0")
     q = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
     dot = F.aggregate(F.zip_with("e", "qe", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from loomwork.functions.text import display_name
 from loomwork.operators.components import connected_components
-from loomwork.plans.lineage import cut
+from loomwork.plans.lineage import cut, written
 
 DAMPING = 0.85
 #: Limits and default of the size of a top-N subgraph.
@@ -44,34 +44,34 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, damping: float = DAMPING, fixed: int | None = None, tolerance: float = 1e-6, most: int = 100, cut_every: int = 4) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = DAMPING, fixed: int | None = None, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
     """``(node, pr)``: PageRank with uniform teleport and uniform dangling redistribution (GR-2).
 
     With ``fixed``, that many rounds; else until the L1 change is below nodes * ``tolerance``, at most
     ``most`` rounds, after which it raises.  The mass that dangling nodes hold is what the nodes with out-edges lack
-    of 1, so a round is one join and one aggregation on the map-side combined target: ``weights`` is laid out by source once, and a hub
-    among the targets is pre-aggregated in every task.
+    of 1, so a round is one join and one aggregation; a hub among the targets is pre-aggregated in every task.
     """
     weights = edges.join(out_degree(edges).withColumnRenamed("node", "src"), "src").select("src", "dst", (1.0 / F.col("out_degree")).alias("w"))
-    weights = cut(weights.repartition("src"))
-    nodes = cut(nodes_of(edges).join(edges.select(F.col("src").alias("node"), F.lit(True).alias("sends")).distinct(), "node", "left"))
+    weights = written(weights, "weights")
+    nodes = written(nodes_of(edges).join(edges.select(F.col("src").alias("node"), F.lit(True).alias("sends")).distinct(), "node", "left"))
     n = nodes.count()
     if n == 0:
         raise EmptyGraphError("the graph has no edge")
     ranks = nodes.select("node", "sends", F.lit(1.0 / n).alias("pr"))
     stuck = 1.0 - nodes.where("sends").count() / n
-    for k in range(1, (fixed or most) + 1):
+    for _ in range(fixed or most):
         inflow = weights.join(ranks.where("sends").select(F.col("node").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("w")).alias("inflow"))
         base = (1 - damping) / n + damping * stuck / n
         after = ranks.join(inflow, "node", "left").select("node", "sends", F.col("pr").alias("was"), (F.lit(base) + damping * F.coalesce("inflow", F.lit(0.0))).alias("pr"))
-        after = cut(after) if k % cut_every == 0 else after.persist()
+        # From files the planner knows the size of the ranks: while they are small they travel to the weights, which stay in place.
+        after = written(after, "ranks")
         seen = after.agg(F.sum(F.abs(F.col("pr") - F.col("was"))).alias("change"), F.coalesce(F.sum(F.when(F.col("sends").isNull(), F.col("pr"))), F.lit(0.0)).alias("stuck")).first()
         ranks, stuck = after.select("node", "sends", "pr"), seen.stuck
         if fixed is None and seen.change < n * tolerance:
-            return cut(ranks.select("node", "pr"))
+            return ranks.select("node", "pr")
     if fixed is None:
         raise RuntimeError(f"PageRank did not settle in {most} rounds")
-    return cut(ranks.select("node", "pr"))
+    return ranks.select("node", "pr")
 
 
 def ranking(ranks: DataFrame, edges: DataFrame, publications: DataFrame, queue: DataFrame, top: int | None = None, digits: int = 10) -> DataFrame:
@@ -176,7 +176,7 @@ def discovery_by_seed(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) ->
     return visited.groupBy("seed", "depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 32) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(node, betweenness)``: shortest-path dependencies from the given source nodes, unnormalised (GR-10).
 
     With all nodes as sources it is exact; with a sample of them an estimate to be scaled by nodes / sources.  The
@@ -184,7 +184,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 32) -> Da
     """
     levels = [cut(sources.select(F.col("node").alias("source"), "node").distinct().select("source", "node", F.lit(1.0).alias("paths")))]
     visited = levels[0].select("source", "node")
-    while len(levels) <= max_depth:
+    while True:
         step = edges.where("src <> dst").join(levels[-1].withColumnRenamed("node", "src"), "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         new = cut(step.join(visited, ["source", "node"], "left_anti"))
         if new.isEmpty():

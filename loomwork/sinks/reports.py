@@ -61,18 +61,19 @@ def page(title: str, body: str, back: str = "index.html") -> str:
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{t}</title></head><body><h1>{t}</h1>{body}<p><a href="{html.escape(back)}">Back</a></p></body></html>'
 
 
-def html_table(df: DataFrame, order: list | None = None, limit: int = MOST_ROWS) -> str:
-    """Rows of a report as an HTML table (SNK-7 to SNK-10)."""
-    rows = (df.orderBy(*order) if order else df).limit(limit).collect()
+def html_table(df: DataFrame, order: list | None = None) -> str:
+    """All rows of a report as an HTML table (SNK-7 to SNK-10); they come to the driver a partition at a time."""
+    rows = (df.orderBy(*order) if order else df).toLocalIterator()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
     return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
 
 def graph_html(nodes: DataFrame, edges: DataFrame, title: str = "Network") -> str:
-    """SNK-6: an interactive page of the top nodes ``(node, label, size, url)`` and the edges among them."""
-    points = [r.asDict() for r in nodes.select("node", "label", "size", "url").limit(MOST_ROWS).collect()]
-    lines = [[r.src, r.dst] for r in edges.select("src", "dst").limit(MOST_ROWS * 100).collect()]
+    """SNK-6: an interactive page of the nodes ``(node, label, size, url)``, the caller's top, and all edges among them."""
+    points = [r.asDict() for r in nodes.select("node", "label", "size", "url").orderBy("node").collect()]
+    inside = edges.select("src", "dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    lines = [[r.src, r.dst] for r in inside.select("src", "dst").orderBy("src", "dst").toLocalIterator()]
     data = json.dumps({"nodes": points, "edges": lines}).replace("<", "\\u003c")
     script = (
         "const place={};let frozen=false;const svg=document.getElementById('net');"
@@ -97,7 +98,7 @@ def layers_html(stats: DataFrame, working: DataFrame) -> str:
 def recommendations_markdown(recommendations: DataFrame, counts: DataFrame) -> str:
     """SNK-11: for each source its counts and list, then the totals."""
     listed: dict[str, list] = {}
-    for r in recommendations.orderBy("source", "url").limit(MOST_ROWS * 10).collect():
+    for r in recommendations.orderBy("source", "url").toLocalIterator():
         listed.setdefault(r.source, []).append(r)
     out = ["# Recommendations", ""]
     rows = counts.orderBy(F.col("source").asc_nulls_last()).collect()
