@@ -48,8 +48,8 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, fixed: int | None = Non
     """``(node, pr)``: PageRank with uniform teleport and uniform dangling redistribution (GR-2).
 
     With ``fixed``, that many rounds; else until the L1 change is below nodes * ``tolerance``, at most
-    ``most`` rounds, after which it raises.  The mass that dangling nodes hold is what the nodes with out-edges lack
-    of 1, so a round is one join and one aggregation; a hub among the targets is pre-aggregated in every task.
+    ``most`` rounds, after which it raises.  A round is one plan: a join, an aggregation in which a hub among the targets
+    is combined in every task, and the mass of the dangling nodes as one row.
     """
     weights = edges.join(out_degree(edges).withColumnRenamed("node", "src"), "src").select("src", "dst", (1.0 / F.col("out_degree")).alias("w"))
     weights = written(weights, "weights")
@@ -58,16 +58,16 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, fixed: int | None = Non
     if n == 0:
         raise EmptyGraphError("the graph has no edge")
     ranks = nodes.select("node", "sends", F.lit(1.0 / n).alias("pr"))
-    stuck = 1.0 - nodes.where("sends").count() / n
     for _ in range(fixed or most):
-        inflow = weights.join(ranks.where("sends").select(F.col("node").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("w")).alias("inflow"))
-        base = (1 - damping) / n + damping * stuck / n
-        after = ranks.join(inflow, "node", "left").select("node", "sends", F.col("pr").alias("was"), (F.lit(base) + damping * F.coalesce("inflow", F.lit(0.0))).alias("pr"))
+        sent = ranks.where("sends").select(F.col("node").alias("src"), "pr")
+        inflow = weights.join(sent, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("w")).alias("inflow"))
+        # One row, part of the round's plan.
+        stuck = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("sends").isNull(), F.col("pr"))), F.lit(0.0)).alias("stuck")))
+        rank = (1 - damping) / n + damping * F.col("stuck") / n + damping * F.coalesce("inflow", F.lit(0.0))
         # From files the planner knows the size of the ranks: while they are small they travel to the weights, which stay in place.
-        after = written(after, "ranks")
-        seen = after.agg(F.sum(F.abs(F.col("pr") - F.col("was"))).alias("change"), F.coalesce(F.sum(F.when(F.col("sends").isNull(), F.col("pr"))), F.lit(0.0)).alias("stuck")).first()
-        ranks, stuck = after.select("node", "sends", "pr"), seen.stuck
-        if fixed is None and seen.change < n * tolerance:
+        after = written(ranks.join(inflow, "node", "left").join(stuck, F.lit(True)).select("node", "sends", F.col("pr").alias("was"), rank.alias("pr")), "ranks")
+        ranks = after.select("node", "sends", "pr")
+        if fixed is None and after.agg(F.sum(F.abs(F.col("pr") - F.col("was"))).alias("change")).first().change < n * tolerance:
             return ranks.select("node", "pr")
     if fixed is None:
         raise RuntimeError(f"PageRank did not settle in {most} rounds")

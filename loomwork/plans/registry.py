@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as fn
 from loomwork.operators import audit, backfill, classify, comments, embeddings, graph, layers, merge, repair, stats
-from loomwork.plans.lineage import cut
+from loomwork.plans.lineage import cut, written
 from loomwork.plans.views import ctes, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +60,7 @@ ranks AS (SELECT node, p FROM steps WHERE i = {ROUNDS})"""
 
 
 def _ranks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = cut(_edges(spark, sf))
+    e = written(_edges(spark, sf), "edges")
     return e, graph.pagerank(e, fixed=ROUNDS)
 
 
