@@ -76,13 +76,15 @@ def canonical(text: Column) -> Column:
     """The canonical form of a whole text; null counts as empty.
 
     Copyright lines go; letters become lower case; everything but letters and digits becomes one
-    blank; then the equivalent spellings are made alike.
+    blank; then the equivalent spellings are made alike, each twice, because neighbours share a blank.  The canonical form of
+    a canonical form is itself.
     """
     kept = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINES, "")
     plain = F.trim(F.regexp_replace(F.lower(kept), r"[^\p{L}\p{N}]+", " "))
     out = F.concat(F.lit(" "), plain, F.lit(" "))
     for spelling, standard in SPELLINGS:
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {standard} "))
+        for _ in range(2):
+            out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {standard} "))
     return F.trim(out)
 
 

@@ -36,7 +36,7 @@ def _license() -> str:
         kept = f"regexp_replace(coalesce({x}, ''), {_quoted(lines)}, '', 'g')"
         out = f"' ' || trim(regexp_replace(lower({kept}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
         for spelling, standard in license_scan.SPELLINGS:
-            out = f"replace({out}, ' {spelling} ', ' {standard} ')"
+            out = f"replace(replace({out}, ' {spelling} ', ' {standard} '), ' {spelling} ', ' {standard} ')"
         return f"sha256(trim({out}))"
 
     rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in license_scan.KNOWN.items() for text in texts)

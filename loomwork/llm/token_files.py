@@ -108,6 +108,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme: one without is on the default file system, as for all of Spark's own paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
@@ -123,7 +129,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     """
     spark = docs.sparkSession
     spec = Path(tokenizer_path or default_tokenizer()).read_text()
-    dtype = _tokenizer(spec).dtype.str
+    dtype, folder = _tokenizer(spec).dtype.str, qualified(spark, folder)
     files, base = _place(folder)
     files.create_dir(base, recursive=True)
 
@@ -181,6 +187,7 @@ def _mapped(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
 
 def _each_shard(spark: SparkSession, folder: str, columns: dict, schema: str) -> DataFrame:
     """One task for each shard; ``columns``: name -> function of (a run of documents' ids arrays)."""
+    folder = qualified(spark, folder)
     files, base = _place(folder)
     with files.open_input_file(f"{base}/manifest.json") as stream:
         manifest = json.loads(stream.read())

@@ -43,3 +43,10 @@ def test_odd_rows(odd, make, none_at_all):
     assert {r.lang_pred for r in li.identify(odd, empty).collect()} == {"und"}
     unlabelled = li.learn(train.withColumn("lang", F.lit(None).cast("string")))
     assert unlabelled.languages == ()
+
+
+def test_more_languages_than_bits_of_a_word():
+    known = {f"l{k:03d}": np.unique(li.grams([f"word{chr(97 + k % 26)}{chr(97 + k // 26)} thing"])[0]) for k in range(150)}
+    model = li.LanguageModel.build(known)
+    names, _ = model.predict([f"word{chr(97 + k % 26)}{chr(97 + k // 26)} thing" for k in range(150)])
+    assert names == sorted(known)

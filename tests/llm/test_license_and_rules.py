@@ -17,6 +17,20 @@ def test_licenses(make, odd, none_at_all, spark):
     assert ls.scan(none_at_all, ls.known_digests(spark)).collect() == []
 
 
+def test_canonical_forms_stay_as_they_are(make):
+    texts = [(1, "licence licence licence sub licence licence"), (2, ls.MIT), (3, "Licence, sub-licence organisation organisation")]
+    once = make(texts).select(ls.canonical(F.col("text")).alias("text"))
+    assert once.where(ls.canonical(F.col("text")) != F.col("text")).count() == 0
+    assert "licence" not in " ".join(r.text for r in once.collect())
+
+
+def test_every_known_text_is_found_in_other_dress(make, spark):
+    dress = lambda t: t.upper().replace(",", " , ").replace("LICENSE", "LICENCE").replace("\n\n", "\n\n\n").replace("<YEAR>", "1999").replace(".", " .")
+    rows = [(k, dress(t), name) for k, (name, t) in enumerate((name, t) for name, texts in ls.KNOWN.items() for t in texts)]
+    found = {r.doc_id: r.license_id for r in ls.scan(make([r[:2] for r in rows]), ls.known_digests(spark)).collect()}
+    assert found == {k: name for k, _, name in rows}
+
+
 def counts(text):
     w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
     grams = Counter(zip(w, w[1:], w[2:]))

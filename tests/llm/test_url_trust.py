@@ -74,3 +74,48 @@ def test_verdicts_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert ut.judged(pages(spark, [(1, "http://a.com/", "")]).where("page_id < 0"), RULES).collect() == []
+
+
+def test_whole_operator_by_brute_force(spark):
+    """A generated graph with hubs, cycles, dangling hosts and hosts out of reach."""
+    rng = np.random.default_rng(4)
+    hosts = [f"h{k}.{'com' if k % 7 == 0 else 'net' if k % 5 == 0 else 'org'}" for k in range(90)]
+    rows = []
+    for k in range(400):
+        src = hosts[int(90 * rng.random() ** 2)]
+        to = [] if int(src[1:].split(".")[0]) % 4 == 3 else [hosts[int(90 * rng.random() ** 3)] for _ in range(rng.integers(0, 4))]
+        rows.append((k, f"http://{src}/{('es', 'fr', 'en')[k % 3]}/p{k}", link(*to, "unseen.example") if k % 50 == 0 else link(*to)))
+    judged = {r.page_id: r for r in ut.judged(pages(spark, rows), RULES).collect()}
+
+    def rule(host, path):
+        fits = [r for r in RULES if (host == r.text.split("/")[0] or host.endswith("." + r.text.split("/")[0])) and path.startswith("/" + r.text.split("/", 1)[1])]
+        return max(fits, key=lambda r: len(r.text), default=None)
+
+    names = [*hosts, "unseen.example"]
+    at = {h: i for i, h in enumerate(names)}
+    w, pages_of, seeds = np.zeros((91, 91)), np.zeros(91), np.zeros((2, 91))
+    split = {k: (u.split("/")[2], "/" + u.split("/", 3)[3]) for k, u, _ in rows}
+    for k, _, html in rows:
+        host, path = split[k]
+        pages_of[at[host]] += 1
+        if r := rule(host, path):
+            seeds[0 if r.allow else 1, at[host]] += 1
+        for to in {x.split("/")[2] for x in html.split('"') if "//" in x} - {host}:
+            w[at[host], at[to]] += 1
+    mass = []
+    for start, links in zip(seeds, (w, w.T), strict=True):
+        out = links.sum(1, keepdims=True)
+        step = np.divide(links, out, out=np.zeros_like(links), where=out > 0)
+        p = start.copy()
+        for _ in range(ut.ROUNDS):
+            p = (1 - ut.DAMPING) * start + ut.DAMPING * (p @ step + p[out[:, 0] == 0].sum() * start / start.sum())
+        mass.append(p)
+    bad = (mass[1] >= ut.DISTRUST_SHARE * (mass[0] + mass[1])) & (mass[1] >= ut.DISTRUST_PER_PAGE * pages_of)
+    verdicts = []
+    for k, (host, path) in split.items():
+        r, got = rule(host, path), judged[k]
+        assert abs(got.trust - mass[0][at[host]]) < 1e-6 and abs(got.distrust - mass[1][at[host]]) < 1e-6
+        allow = r.allow if r else not bad[at[host]]
+        assert (got.rule, got.verdict) == (r and r.text, "allow" if allow else "block")
+        verdicts.append((r is None, allow))
+    assert len(set(verdicts)) == 4
