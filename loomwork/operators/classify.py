@@ -49,20 +49,27 @@ def owners(profiles: DataFrame, payload: str = "payload") -> DataFrame:
     """``profiles`` with ``is_owner, publication_id, role`` from a profile's JSON (CLS-1).
 
     Only rows of the profile's own user count (all rows if the profile has no id), and only up to the first
-    admin row.  The owner has posts and an admin row, whose publication is theirs; else the primary publication or that
-    of the first row is given.  The role is the first non-empty one among the rows that count.
+    admin row; roles are compared in lower case and not trimmed.  The owner has posts and an admin row, whose publication, if it
+    names one, is theirs; else the primary publication or the first that any of the rows names is given.  The role is the
+    first non-empty one.  A payload that is null or no JSON gives 0 and nulls.
     """
+    rows = F.coalesce("_p.publicationUsers", F.array().cast(PROFILE.partition("publicationUsers:")[2][:-1]))
     p = profiles.withColumn("_p", F.from_json(payload, PROFILE))
-    own = F.filter(F.coalesce("_p.publicationUsers", F.array().cast("array<struct<user_id:string,publication_id:string,role:string,publication:struct<id:string>>>")), lambda r: F.col("_p.id").isNull() | (F.col("_p.id") == r["user_id"]))
-    p = p.withColumn("_own", own).withColumn("_roles", F.transform("_own", lambda r: F.lower(F.trim(F.coalesce(r["role"], F.lit(""))))))
-    at = F.array_position("_roles", "admin")
-    seen = F.when(at > 0, F.slice("_roles", F.lit(1), at.cast("int"))).otherwise(F.col("_roles"))
-    role = F.get(F.filter(seen, lambda r: r != ""), F.lit(0))
-    publication = lambda r: F.coalesce(r["publication_id"], r["publication"]["id"])
-    admin = F.when(at > 0, publication(F.get("_own", (at - 1).cast("int"))))
-    first = publication(F.get("_own", F.lit(0)))
-    has_posts = F.coalesce("_p.hasPosts", F.lit(False))
-    return p.select(*profiles.columns, (has_posts & (at > 0)).cast("int").alias("is_owner"), F.coalesce(admin, F.col("_p.primaryPublication.id"), first).alias("publication_id"), role.alias("role"))
+    p = p.withColumn("_own", F.filter(rows, lambda r: F.col("_p.id").isNull() | (F.col("_p.id") == r["user_id"])))
+    place = F.array_position(F.transform("_own", lambda r: F.lower(F.coalesce(r["role"], F.lit("")))), "admin")
+    p = p.withColumn("_admin", F.coalesce(place, F.lit(0)).cast("int"))
+    p = p.withColumn("_seen", F.when(F.col("_admin") > 0, F.slice("_own", F.lit(1), F.col("_admin"))).otherwise(F.col("_own")))
+    named = F.transform("_seen", lambda r: F.coalesce(F.nullif(r["publication_id"], F.lit("")), r["publication"]["id"]))
+    of_admin = F.when(F.col("_admin") > 0, F.get(named, F.col("_admin") - 1))
+    any_named = F.get(F.array_compact(named), F.lit(0))
+    roles = F.filter(F.transform("_seen", lambda r: F.lower(F.coalesce(r["role"], F.lit("")))), lambda r: r != "")
+    owner = F.coalesce(F.col("_p.hasPosts"), F.lit(False)) & (F.col("_admin") > 0)
+    return p.select(
+        *profiles.columns,
+        owner.cast("int").alias("is_owner"),
+        F.coalesce(of_admin, F.col("_p.primaryPublication.id"), any_named).alias("publication_id"),
+        F.get(roles, F.lit(0)).alias("role"),
+    )
 
 
 def profile_targets(users: DataFrame, order: str = "position", most: int = -1) -> DataFrame:
