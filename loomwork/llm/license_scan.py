@@ -44,19 +44,52 @@ Redistribution and use in source and binary forms, with or without modification,
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """
+BSD_3 = BSD_2.replace("BSD 2-Clause License", "BSD 3-Clause License").replace(
+    "\n\nTHIS SOFTWARE", "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE"
+)
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
+"""
 KNOWN = {
     "MIT": (MIT, "Released under the MIT License."),
     "ISC": (ISC,),
     "0BSD": (BSD_0,),
     "BSD-2-Clause": (BSD_2,),
+    "BSD-3-Clause": (BSD_3,),
+    "Unlicense": (UNLICENSE,),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
 }
+# Digests of the canonical forms of long licences' whole texts, as Debian ships them in /usr/share/common-licenses.
+KNOWN_DIGESTS = {
+    "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0": "Apache-2.0",
+    "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2": "Artistic-1.0",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71": "GFDL-1.2",
+    "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1": "MPL-1.1",
+    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+}
 # Spellings that mean the same, and the one that stands for them.
 SPELLINGS = (
     ("licence", "license"),
     ("licenced", "licensed"),
+    ("unlicence", "unlicense"),
     ("sublicence", "sublicense"),
     ("sub license", "sublicense"),
     ("non infringement", "noninfringement"),
@@ -92,11 +125,16 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """``(digest, license_id)`` of the known texts, each digest once."""
+def known_digests(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None, digests: dict[str, str] | None = None) -> DataFrame:
+    """``(digest, license_id)`` of the known texts and digests, each digest once; without arguments those of this module."""
+    if known is None and digests is None:
+        digests = KNOWN_DIGESTS
     rows = [F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, texts in (known or KNOWN).items() for text in texts]
     texts = spark.range(1).select(F.inline(F.array(*rows)))
-    return texts.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    found = texts.select(digest(F.col("text")).alias("digest"), "license_id")
+    if digests:
+        found = found.union(spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in digests.items() for x in pair]))))
+    return found.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,7 +142,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``known`` has ``(digest, license_id)`` with unique digests; how it is joined is left to Spark, which
     broadcasts it only when it is small.  Null and empty texts share the digest of the empty form and match
-    nothing unless it is known; repeated rows stay; other columns are ignored.
+    nothing unless it is known; repeated rows and null ids stay; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col).cast("string")).alias("digest"))
     return rows.join(known, "digest", "left").select("doc_id", "digest", "license_id")

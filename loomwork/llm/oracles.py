@@ -40,7 +40,10 @@ def _license() -> str:
         return f"sha256(trim({out}))"
 
     rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, texts in license_scan.KNOWN.items() for text in texts)
-    return f"""WITH known AS (SELECT {digest("text")} AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS t(license_id, text) GROUP BY 1)
+    more = ", ".join(f"({_quoted(d)}, {_quoted(name)})" for d, name in license_scan.KNOWN_DIGESTS.items())
+    return f"""WITH known AS (SELECT digest, min(license_id) AS license_id FROM (
+  SELECT {digest("text")} AS digest, license_id FROM (VALUES {rows}) AS t(license_id, text)
+  UNION ALL SELECT * FROM (VALUES {more}) AS u(digest, license_id)) GROUP BY 1)
 SELECT d.doc_id, d.digest, k.license_id FROM (SELECT doc_id, {digest("text")} AS digest FROM documents) d LEFT JOIN known k ON k.digest = d.digest"""
 
 

@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -31,6 +32,15 @@ def test_every_known_text_is_found_in_other_dress(make, spark):
     assert found == {k: name for k, _, name in rows}
 
 
+def test_whole_texts_of_long_licenses(make, spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {f: name for f, name in files.items() if Path("/usr/share/common-licenses", f).exists()}
+    texts = [Path("/usr/share/common-licenses", f).read_text() for f in there]
+    docs = [(k, t.upper().replace("\n", "\n  ")) for k, t in enumerate(texts)] + [(100 + k, t[:-40]) for k, t in enumerate(texts)]
+    found = {r.doc_id: r.license_id for r in ls.scan(make(docs), ls.known_digests(spark)).collect()}
+    assert found == dict(enumerate(there.values())) | {100 + k: None for k in range(len(texts))}
+
+
 def counts(text):
     w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
     grams = Counter(zip(w, w[1:], w[2:]))
