@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.operators.components import connected_components
+from loomwork.plans.lineage import cut
+
 Rule = Callable[[Column, Column], Column]
 
 
@@ -113,23 +116,77 @@ def matched_id(incoming: DataFrame, current: DataFrame, row_key: str, keys: list
     return hits.groupBy(row_key).agg(F.min(F.struct("p", "id")).alias("m")).select(row_key, "m.id")
 
 
+def _given(column: str) -> Column:
+    return F.col(column).isNotNull() & (F.col(column).cast("string") != "")
+
+
+def _folded(rule: Rule, column: str, order: str) -> Column:
+    """What applying ``rule`` to a group's rows one after the other in ``order`` leaves of a column."""
+    if rule is raised:
+        return F.max(column)
+    if rule is least:
+        return F.min(column)
+    if rule is replace:
+        return F.max_by(F.struct(column), order)[column]
+    return (F.max_by if rule is prefer_new else F.min_by)(F.col(column), F.when(_given(column), F.col(order)))
+
+
+def with_new_ids(rows: DataFrame, current: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with an ``id`` each, counted on from the largest of ``current`` in the order of ``order`` (unique).
+
+    The rows are sorted by range; each partition's numbers start after the rows of the ones before it.
+    """
+    placed = cut(rows.drop("id").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
+    # One row for each partition.
+    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_base")).join(F.broadcast(top), F.lit(True))
+    inside = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    numbered = inside.join(F.broadcast(before), "_part")
+    return numbered.withColumn("id", F.col("_top") + F.col("_base") + F.col("_n")).drop("_part", "_n", "_top", "_base")
+
+
+def _same_rows(placed: DataFrame, keys: list[list[str]], order: str) -> DataFrame:
+    """``(order, _label, _linked)``: one label for all rows that keys connect, and the smallest current id among them."""
+    single = [F.when(_given(k[0]), F.concat(F.lit(f"{k[0]}:"), F.col(k[0]).cast("string"))) for k in keys if len(k) == 1]
+    several = [F.concat(F.lit(f"{','.join(k)}:"), F.to_json(F.struct(*k))) for k in keys if len(k) > 1]
+    own = F.filter(F.array(*single), lambda x: x.isNotNull()) if single else F.array().cast("array<string>")
+    row = F.concat(F.lit("row:"), F.col(order).cast("string"))
+    tokens = F.when(F.size(own) > 0, own).otherwise(F.array(*several) if several else F.array(row))
+    rows = placed.select(order, "_found", row.alias("_row"), tokens.alias("_tokens"))
+    if len(keys) == 1:
+        labelled = rows.select(order, "_found", F.col("_tokens")[0].alias("_label"))
+    else:
+        groups = connected_components(rows.select(F.col("_row").alias("src"), F.explode("_tokens").alias("dst")))
+        labelled = rows.join(groups.select(F.col("node").alias("_row"), F.col("component").alias("_label")), "_row").select(order, "_found", "_label")
+    linked = labelled.groupBy("_label").agg(F.min("_found").alias("_linked"))
+    return labelled.select(order, "_label").join(linked, "_label")
+
+
 def upsert_by_keys(current: DataFrame, incoming: DataFrame, keys: list[list[str]], rules: dict[str, Rule], order: str = "arrival") -> DataFrame:
     """DML-5 to DML-7: rows are matched by prioritised keys, several of one batch for the same row merge in ``order``.
 
-    ``incoming`` has a unique ``order`` column.  Rows of the batch without a current row are the same new row
-    if their first non-empty key column is equal; new rows get ids after the largest, in order of arrival.
+    ``incoming`` has a unique ``order`` column.  Rows of the batch that any of the keys connects, directly or over other
+    rows, are one row (keys of several columns connect only rows without a key of one column).  A row that finds
+    no current row itself joins the smallest one that a connected row finds.  Rows of a group are folded column by
+    column as ``rules`` would one after the other; new rows get ids after the largest, in order of arrival.
+    Null and empty keys connect nothing; an empty batch changes nothing.
     """
+    return upserted(current, incoming, keys, rules, order)[0]
+
+
+def upserted(current: DataFrame, incoming: DataFrame, keys: list[list[str]], rules: dict[str, Rule], order: str = "arrival") -> tuple[DataFrame, DataFrame]:
+    """As ``upsert_by_keys``, with ``(order, id)`` of each incoming row beside it."""
     by_id = matched_id(incoming, current, order, keys)
-    placed = incoming.join(by_id.withColumnRenamed("id", "_found"), order, "left")
-    firsts = [F.when(F.col(k[0]).isNotNull() & (F.col(k[0]).cast("string") != ""), F.concat(F.lit(f"{k[0]}:"), F.col(k[0]).cast("string"))) for k in keys if len(k) == 1]
-    label = F.coalesce(F.concat(F.lit("id:"), F.col("_found").cast("string")), *firsts, F.concat(F.lit("row:"), F.col(order).cast("string")))
-    placed = placed.withColumn("_label", label)
-    latest = latest_per_key(placed, ["_label"], [F.desc(order)])
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = latest.where("_found IS NULL").withColumn("_n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top), F.lit(True))
-    new = new.withColumn("_found", F.col("_top") + F.col("_n")).drop("_n", "_top")
-    named = latest.where("_found IS NOT NULL").unionByName(new).drop("id").withColumnRenamed("_found", "id").drop("_label", order)
-    return merge(current, named, ["id"], rules, ("last_seen",))
+    placed = cut(incoming.drop("id").join(by_id.withColumnRenamed("id", "_found"), order, "left"))
+    same = placed.join(_same_rows(placed, keys, order), order)
+    target = F.coalesce("_found", "_linked")
+    same = same.withColumn("_id", target).withColumn("_label", F.when(target.isNotNull(), F.concat(F.lit("id:"), target.cast("string"))).otherwise(F.concat(F.lit("new:"), "_label")))
+    columns = [c for c in incoming.columns if c not in ("id", order)]
+    folded = cut(same.groupBy("_label").agg(F.min("_id").alias("id"), F.min(order).alias(order), *[_folded(rules.get(c, keep_old), c, order).alias(c) for c in columns]))
+    named = cut(folded.where("id IS NOT NULL").unionByName(with_new_ids(folded.where("id IS NULL"), current, [order])))
+    ids = same.select(order, "_label").join(named.select("_label", "id"), "_label").select(order, "id")
+    return merge(current, named.drop("_label", order), ["id"], rules, ("last_seen",)), ids
 
 
 def action_counts(merged: DataFrame) -> DataFrame:
