@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import audit, backfill, graph, layers, repair, stats
+from loomwork.operators import audit, backfill, graph, ingest, layers, repair, stats
 from loomwork.plans.lineage import cut
 from loomwork.sinks import reports
 
@@ -60,10 +62,17 @@ def run(spark: SparkSession, command: str, folder: str, top: int = 50, out: str
         for name, df in fixed.items():
             df.write.mode("overwrite").parquet(f"{out or folder + '-repaired'}/{name}.parquet")
         return json.dumps({r.check: r["count"] for r in report.collect()}, sort_keys=True)
+    if command == "comments":
+        at = datetime.now(UTC).isoformat()
+        archives, threads = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("archives", "threads"))
+        result, counts = ingest.process(t, archives, threads, at)
+        for name, df in result.items():
+            df.write.mode("overwrite").parquet(f"{out or folder + '-ingested'}/{name}.parquet")
+        return " ".join(["Comments ingested:", *[f"{k}={n}" for k, n in counts.items()]])
     raise ValueError(f"unknown command {command}")
 
 
-COMMANDS = ("summarize", "view", "export", "centrality", "visualize", "layers", "distribution", "failed", "audit", "repair")
+COMMANDS = ("summarize", "view", "export", "centrality", "visualize", "layers", "distribution", "failed", "audit", "repair", "comments")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -73,7 +82,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-n", "--top", type=int, default=50)
     parser.add_argument("-o", "--out")
     args = parser.parse_args(argv)
-    print(run(SparkSession.builder.appName("loomwork").getOrCreate(), args.command, args.folder, args.top, args.out))
+    try:
+        print(run(SparkSession.builder.appName("loomwork").getOrCreate(), args.command, args.folder, args.top, args.out))
+    except Exception as error:
+        print(f"{args.command}: {error}", file=sys.stderr)
+        return 1
     return 0
 
 

@@ -26,13 +26,16 @@ def _field(node: str, *paths: str) -> Column:
     return first_truthy(*[F.get_json_object(node, f"$.{p}") for p in paths])
 
 
-def posts_of(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+def posts_of(payloads: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(external_post_id, publication_substack_id, title, url, published_at)`` of archive payloads (CMT-1).
 
     Items that are no objects are dropped, and so are posts without an id; a payload that is not JSON has none.
+    With ``keep``, these columns of the payload's row and the post's ``position`` in it come first.
     """
-    items = payloads.select(F.explode(first_list(payload, *POST_LISTS)).alias("v")).select(F.to_json("v").alias("node")).where("node LIKE '{%'")
+    items = payloads.select(*keep, F.posexplode(first_list(payload, *POST_LISTS)).alias("position", "v"))
+    items = items.select(*keep, "position", F.to_json("v").alias("node")).where("node LIKE '{%'")
     return items.select(
+        *((*keep, "position") if keep else ()),
         _field("node", "id", "post_id").alias("external_post_id"),
         _field("node", "publication_id", "publicationId").alias("publication_substack_id"),
         _field("node", "title").alias("title"),
@@ -107,9 +110,9 @@ def dedupe_key() -> Column:
     return F.when(F.coalesce("external_comment_id", F.lit("")) != "", F.concat(F.lit("id:"), F.col("external_comment_id"))).otherwise(F.concat_ws("|", F.lit("fallback"), *parts))
 
 
-def deduped(comments: DataFrame, order: list[str]) -> DataFrame:
-    """The first of the rows with an equal ``dedupe_key`` in ``order``."""
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+def deduped(comments: DataFrame, order: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+    """The first of the rows with an equal ``dedupe_key`` (and equal ``within``) in ``order``."""
+    place = F.row_number().over(Window.partitionBy(*within, "_key").orderBy(*order))
     return comments.withColumn("_key", dedupe_key()).withColumn("_place", place).where("_place = 1").drop("_key", "_place")
 
 
