@@ -60,3 +60,8 @@ def retried(queue: DataFrame, recovered: DataFrame, at: str) -> tuple[DataFrame,
     status = F.when(F.col("_hit") & (F.col("status") == "failed"), "crawled").otherwise(F.col("status"))
     log = queue.where("status = 'failed'").join(hit.select("domain"), "domain", "left_semi").select("domain", F.lit(at).alias("unfailed_at"))
     return back.select(*[status.alias(c) if c == "status" else F.col(c) for c in queue.columns]), log
+
+
+def unfailed_rows(log: DataFrame) -> DataFrame:
+    """SRT-6: recovered domains, the earliest first."""
+    return log.select("domain", "unfailed_at").orderBy("unfailed_at", "domain")

@@ -103,6 +103,11 @@ def recommendations_of(payloads: DataFrame, as_people: bool = False, payload: st
     return rows.where("url IS NOT NULL")
 
 
+def only_guessed(recommendations: DataFrame, guess: str | None = None) -> DataFrame:
+    """FLT-9: ``person`` or ``publication`` recommendations alone; all without a guess."""
+    return recommendations if guess is None else recommendations.where(F.col("guess") == guess)
+
+
 def guess_counts(recommendations: DataFrame) -> DataFrame:
     """Counts by guess for each source and, with a null source, over all (AGG-10)."""
     counts = [F.count_if(F.col("guess") == g).alias(g) for g in ("person", "publication", "unknown")]
@@ -112,6 +117,12 @@ def guess_counts(recommendations: DataFrame) -> DataFrame:
 Labeller = Callable[[list[str]], list[str]]
 
 
+def publications_to_label(publications: DataFrame, limit: int | None = None) -> DataFrame:
+    """SRC-19: ``(domain, name, description)`` in the order of domains, the first ``limit`` if one is given."""
+    rows = publications.select("domain", "name", "description").orderBy("domain")
+    return rows if limit is None else rows.limit(limit)
+
+
 def label_topics(publications: DataFrame, labels: list[str], labeller: Labeller, exact_first: bool = False) -> DataFrame:
     """``(domain, topic)`` by an external labeller over prompt texts, snapped to the given labels (CLS-3)."""
 

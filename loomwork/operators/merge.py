@@ -96,6 +96,14 @@ def set_status(queue: DataFrame, domains: DataFrame, status: str) -> DataFrame:
     return queue.join(marked, "domain", "left").select("domain", F.when(F.col("_hit"), status).otherwise(F.col("status")).alias("status"), "depth")
 
 
+def upsert_topics(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """DML-14: ``(domain, topic_llm, topic_cluster)`` with the topics of ``incoming (domain, topic_llm)``; clusters stay.
+
+    A topic replaces the old one even if it is null; ``incoming`` has at most one row for each domain.
+    """
+    return merge(current, incoming.select("domain", "topic_llm"), ["domain"], {"topic_llm": replace}).drop("action")
+
+
 USER_RULES: dict[str, Rule] = {"external_user_id": keep_old, "name": prefer_new, "handle": prefer_new, "profile_url": prefer_new, "publication_substack_id": prefer_new, "publication_role": prefer_new, "is_publication_owner": raised, "first_seen": keep_old, "last_seen": replace, "id": keep_old}
 POST_RULES: dict[str, Rule] = {"external_post_id": keep_old, "publication_substack_id": prefer_new, "title": prefer_new, "url": prefer_new, "published_at": prefer_new, "first_seen": keep_old, "last_seen": replace, "id": keep_old}
 COMMENT_RULES: dict[str, Rule] = {"external_comment_id": keep_old, "post_id": prefer_new, "user_id": prefer_new, "parent_comment_id": prefer_new, "parent_external_comment_id": prefer_new, "body": prefer_new, "commented_at": prefer_new, "raw_json": prefer_new, "first_seen": keep_old, "last_seen": replace, "id": keep_old}

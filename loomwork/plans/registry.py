@@ -476,6 +476,24 @@ def upsert_users_actions(spark: SparkSession, sf: str) -> DataFrame:
     return merge.action_counts(merge.upsert_by_keys(current, incoming, [["external_user_id"]], merge.USER_RULES))
 
 
+@_register("topic_upsert", f"WITH {ctes('publications')} SELECT domain, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS topic_llm, CASE WHEN id % 3 <> 0 THEN 'c' END AS topic_cluster FROM publications WHERE id % 2 = 0 OR id % 3 <> 0")
+def topic_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "publications")
+    current = rows.where("id % 3 <> 0").select("domain", F.lit("old").alias("topic_llm"), F.lit("c").alias("topic_cluster"))
+    return merge.upsert_topics(current, rows.where("id % 2 = 0").select("domain", F.lit("new").alias("topic_llm")))
+
+
+@_register("publications_to_label", f"WITH {ctes('publications')} SELECT domain, name, description FROM publications ORDER BY domain")
+def publications_to_label(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.publications_to_label(view(spark, sf, "publications"))
+
+
+@_register("unfailed_rows", f"WITH {ctes('queue')} SELECT domain, '2026-03-01' AS unfailed_at FROM queue WHERE status = 'failed' AND depth % 2 = 0 ORDER BY domain")
+def unfailed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    queue = view(spark, sf, "queue")
+    return backfill.unfailed_rows(backfill.retried(queue, queue.where("depth % 2 = 0"), "2026-03-01")[1])
+
+
 # Comments ----------------------------------------------------------------------------------------
 
 
