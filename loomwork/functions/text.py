@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column
@@ -134,6 +135,16 @@ def first_truthy(*values: Column) -> Column:
     return F.coalesce(*[F.when(~v.isin("", "0", "0.0", "false"), v) for v in values])
 
 
+def string_or_none(value: str | Column) -> Column:
+    """FN-16: any value as text; null stays null, and a JSON value's null is one too."""
+    return _col(value).cast("string")
+
+
+def iso_now() -> str:
+    """FN-29: the time of a run with its zone, read once on the driver and handed to the operators as ``at``."""
+    return datetime.now(UTC).isoformat()
+
+
 def first_list(payload: str | Column, *keys: str) -> Column:
     """FN-17: a JSON payload that is a list, or its first key that holds one, as an array of variants."""
     v = F.try_parse_json(_col(payload))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,3 +237,25 @@ def fill_parent_external(comments: DataFrame) -> DataFrame:
 def add_column(table: DataFrame, name: str, kind: str = "string") -> DataFrame:
     """DML-19: an existing column is left alone."""
     return table if name in table.columns else table.withColumn(name, F.lit(None).cast(kind))
+
+
+def ordered_lookup(probes: DataFrame, table: DataFrame, keys: list[list[str]], probe_id: str, row_id: str = "id") -> DataFrame:
+    """JN-20: ``probes`` with ``found``, the row of ``table`` that the first of ``keys`` with a match gives; null without one.
+
+    ``probes`` and ``table`` have the columns of ``keys``; a key with a null or empty column is passed over.  Of several rows
+    under one key that with the smallest ``row_id`` counts.  Rows with a null ``probe_id`` find nothing.  All keys are looked up in one join.
+    """
+
+    def keyed(rows: DataFrame, *kept: Column) -> DataFrame:
+        lookups = []
+        for place, columns in enumerate(keys):
+            texts = [F.col(c).cast("string") for c in columns]
+            full = reduce(lambda a, b: a & b, [F.coalesce(t, F.lit("")) != "" for t in texts])
+            lookups.append(F.when(full, F.struct(F.lit(place).alias("place"), F.to_json(F.array(*texts)).alias("value"))))
+        return rows.select(*kept, F.explode(F.array_compact(F.array(*lookups))).alias("k")).select("*", "k.place", "k.value").drop("k")
+
+    held = keyed(table, F.struct(*table.columns).alias("row"))
+    held = held.groupBy("place", "value").agg(F.min_by("row", f"row.{row_id}").alias("row"))
+    asked = keyed(probes, F.col(probe_id).alias("_probe"))
+    found = asked.join(held, ["place", "value"]).groupBy("_probe").agg(F.min_by("row", "place").alias("found"))
+    return probes.join(found, F.col(probe_id) == F.col("_probe"), "left").drop("_probe")

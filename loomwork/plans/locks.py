@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import glob
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -45,7 +46,27 @@ def exclusive(path: str | Path, break_stale: bool = False) -> Iterator[None]:
         path.unlink(missing_ok=True)
 
 
-def backups(folder: str | Path, patterns: tuple[str, ...] = ("*.bak", "*.backup", "*backup*")) -> list[Path]:
-    """Non-empty, readable backup files."""
-    found = {p for pattern in patterns for p in Path(folder).glob(pattern)}
-    return sorted(p for p in found if p.is_file() and p.stat().st_size and os.access(p, os.R_OK))
+# How a backup of a file may be called, by the file's name and its name without the suffix.
+BACKUP_NAMES = ("{name}.backup", "{name}.backup-*", "{name}.backup.*", "{name}.*.backup", "{stem}-*.backup")
+
+
+class NotReady(RuntimeError):
+    """A run must not start."""
+
+
+def backups(database: str | Path) -> list[Path]:
+    """DML-27: non-empty, readable backups beside ``database``, by the order of the names and then sorted."""
+    database = Path(database)
+    found: dict[Path, None] = {}
+    for pattern in BACKUP_NAMES:
+        shape = pattern.format(name=glob.escape(database.name), stem=glob.escape(database.stem))
+        found |= dict.fromkeys(sorted(database.parent.glob(shape)))
+    return [p for p in found if p.is_file() and p.stat().st_size and os.access(p, os.R_OK)]
+
+
+def backed_up(database: str | Path) -> Path:
+    """DML-21: the first backup; raises ``NotReady`` without one."""
+    found = backups(database)
+    if not found:
+        raise NotReady(f"no readable backup of {database}")
+    return found[0]

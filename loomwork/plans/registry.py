@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as fn
-from loomwork.operators import audit, backfill, classify, comments, embeddings, graph, layers, merge, repair, stats
+from loomwork.operators import audit, backfill, classify, comments, constraints, embeddings, graph, layers, merge, repair, stats
 from loomwork.plans.lineage import cut, written
 from loomwork.plans.views import ctes, view
 
@@ -585,6 +585,51 @@ def _status(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(STATUS.replace("FROM queue", "FROM {queue}"), queue=view(spark, sf, "queue"))
 
 
+TWICE = "pubs AS (SELECT * FROM publications UNION ALL SELECT * FROM publications WHERE id % 3 = 0), odd AS (SELECT domain, CASE WHEN depth = 3 THEN 'odd' WHEN depth <> 4 THEN status END AS status FROM queue)"
+
+
+@_register(
+    "constraint_violations",
+    f"WITH {ctes('publications', 'queue')}, {TWICE}, "
+    + "v AS ("
+    + " UNION ALL ".join(f"SELECT 'publications' AS table_name, 'unique {c}' AS rule, count({c}) - count(DISTINCT {c}) AS n FROM pubs" for c in ("id", "substack_id", "domain"))
+    + " UNION ALL SELECT 'queue', 'unique domain', count(domain) - count(DISTINCT domain) FROM odd"
+    + " UNION ALL SELECT 'queue', 'required status', count(*) FROM odd WHERE status IS NULL"
+    + " UNION ALL SELECT 'queue', 'allowed status', count(*) FROM odd WHERE status NOT IN ('pending', 'crawled', 'failed')"
+    + ") SELECT table_name, rule, n::BIGINT AS n FROM v WHERE n > 0",
+)
+def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
+    p, q = view(spark, sf, "publications"), view(spark, sf, "queue")
+    odd = q.withColumn("status", F.when(F.col("depth") == 3, "odd").when(F.col("depth") != 4, F.col("status")))
+    found = constraints.violations({"publications": p.union(p.where("id % 3 = 0")), "queue": odd})
+    return found.select(F.col("table").alias("table_name"), "rule", F.col("rows").alias("n"))
+
+
+@_register(
+    "references_cleared",
+    f"WITH {ctes('comments', 'posts', 'users')} SELECT id, CASE WHEN post_id IN (SELECT id FROM posts) THEN post_id END AS post_id, "
+    "CASE WHEN user_id IN (SELECT id FROM users) THEN user_id END AS user_id, CASE WHEN parent_comment_id IN (SELECT id FROM comments) THEN parent_comment_id END AS parent_comment_id FROM comments",
+)
+def references_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {n: view(spark, sf, n) for n in ("comments", "posts", "users")}
+    return constraints.references_cleared(tables)["comments"].select("id", "post_id", "user_id", "parent_comment_id")
+
+
+PROBES = "SELECT id AS probe, CASE WHEN id % 3 = 0 THEN external_user_id WHEN id % 3 = 1 THEN '' END AS external_user_id, CASE WHEN id % 3 <> 2 THEN profile_url END AS profile_url, CASE WHEN id % 7 = 0 THEN 'nobody' ELSE handle END AS handle FROM users"
+
+
+@_register(
+    "ordered_lookup",
+    f"WITH {ctes('users')}, p AS ({PROBES}) SELECT p.probe, coalesce(a.id, b.id, c.id) AS found_id FROM p "
+    + " ".join(f"LEFT JOIN (SELECT {k}, min(id) AS id FROM users GROUP BY {k}) {t} ON {t}.{k} = p.{k}" for t, k in (("a", "external_user_id"), ("b", "profile_url"), ("c", "handle"))),
+)
+def ordered_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    users = view(spark, sf, "users")
+    probes = spark.sql(PROBES.replace("FROM users", "FROM {users}"), users=users)
+    found = merge.ordered_lookup(probes, users, [["external_user_id"], ["profile_url"], ["handle"]], "probe")
+    return found.select("probe", F.col("found.id").alias("found_id"))
+
+
 @_register("backfill_targets", f"WITH {ctes('publications', 'queue')}, s AS ({STATUS}) SELECT p.domain, p.substack_id, coalesce(s.attempts, 0)::INT AS attempts, coalesce(s.updated_at, p.first_seen, '') AS touched FROM publications p LEFT JOIN s ON s.domain = p.domain WHERE (s.status IS NULL OR s.status IN ('pending', 'failed')) AND coalesce(s.attempts, 0) < 3")
 def backfill_targets(spark: SparkSession, sf: str) -> DataFrame:
     return backfill.targets(view(spark, sf, "publications"), _status(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators.merge import migrate_legacy
+from loomwork.plans.locks import NotReady
 
 Tables = dict[str, DataFrame]
 
@@ -55,9 +56,25 @@ def with_version(spark: SparkSession, tables: Tables, number: int, at: str) -> T
 
 
 def healed(spark: SparkSession, tables: Tables, at: str) -> Tables:
-    """DML-22: missing tables created empty, present ones left as they are, the version recorded."""
+    """DML-22: missing tables created empty, present ones left as they are, the version and a free lock row recorded."""
     missing = {n: spark.createDataFrame([], s) for n, s in EXPECTED.items() if n not in tables}
-    return with_version(spark, {**missing, **tables}, VERSION, at)
+    tables = with_version(spark, {**missing, **tables}, VERSION, at)
+    if tables["backfill_lock"].where("id = 1").isEmpty():
+        free = spark.range(1).select(F.lit(1).alias("id"), F.lit(0).alias("is_locked"), F.lit(None).cast("string").alias("locked_at"), F.lit(None).cast("int").alias("owner_pid"))
+        tables["backfill_lock"] = tables["backfill_lock"].unionByName(free)
+    return tables
+
+
+def require_ready(tables: Tables) -> None:
+    """DML-21: raises ``NotReady`` unless the tables of an ingest, version, migration and lock row are there."""
+    wrong = [n for n in EXPECTED if n not in tables]
+    if not wrong:
+        if version(tables) != VERSION or tables["schema_migrations"].where(F.col("version") == str(VERSION)).isEmpty():
+            wrong.append(f"version {VERSION}")
+        if tables["backfill_lock"].where("id = 1 AND is_locked IN (0, 1)").isEmpty():
+            wrong.append("lock row")
+    if wrong:
+        raise NotReady("missing: " + ", ".join(wrong))
 
 
 def differing(tables: Tables) -> list[str]:

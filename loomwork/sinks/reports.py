@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import console_depth, console_domain, console_name, publication_url
@@ -106,3 +107,43 @@ def recommendations_markdown(recommendations: DataFrame, counts: DataFrame) -> s
         out += [f"## {c.source if c.source is not None else 'All'}", "", f"{c.recommendations} recommendations: {c.person} people, {c.publication} publications, {c.unknown} unknown", ""]
         out += [f"- {r.url} ({r.guess})" for r in listed.get(c.source, [])] + [""]
     return "\n".join(out)
+
+
+# The marks, headings and stated sources of a recommendation's guess.
+MARKS = {"publication": "📰", "person": "👤", "unknown": "❓"}
+HEADINGS = {"publication": "Best-Effort Publications", "person": "Best-Effort People"}
+SOURCES = {
+    "person": "best-effort from recommendedPublication.is_personal_mode=true",
+    "publication": "best-effort from recommendedPublication.is_personal_mode=false",
+    "unknown": "no reliable public UI-split signal present",
+}
+FORCED = "forced via --as-people"
+
+
+def recommendation_lines(recommendations: DataFrame, as_people: bool = False) -> DataFrame:
+    """``recommendations (guess, url)`` with ``line``: mark, guess, where the guess is from and url, parted by tabs."""
+    by_guess = lambda names: F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("guess"))
+    source = F.lit(FORCED) if as_people else by_guess(SOURCES)
+    return recommendations.withColumn("line", F.concat_ws("\t", by_guess(MARKS), "guess", source, "url"))
+
+
+def recommendation_listing(recommendations: DataFrame, order: list[str], guess: str | None = None, separate: bool = False, as_people: bool = False) -> Iterator[str]:
+    """SNK-16: the lines of one guess, of all recommendations, or of two sections; they come a partition at a time."""
+    lines = recommendation_lines(recommendations, as_people)
+    if not separate:
+        wanted = lines if guess is None else lines.where(F.col("guess") == guess)
+        yield from (r.line for r in wanted.orderBy(*order).select("line").toLocalIterator())
+        return
+    for k, (kind, heading) in enumerate(HEADINGS.items()):
+        yield from ([""] if k else []) + [f"=== {MARKS[kind]} {heading} ==="]
+        yield from (f"  {r.line}" for r in lines.where(F.col("guess") == kind).orderBy(*order).select("line").toLocalIterator())
+
+
+def failed_list(spark: SparkSession, folder: str, queue: DataFrame | None) -> DataFrame | None:
+    """SRC-18: the failed list in ``folder``; one that is missing is written from ``queue``; None if there is no queue either."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if queue is None:
+            return None
+        write_csv(failed_rows(queue), folder)
+    return spark.read.csv(folder, header=True, schema="domain string, depth int, url string")
