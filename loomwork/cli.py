@@ -5,12 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.text import iso_now
 from loomwork.operators import audit, backfill, graph, ingest, layers, repair, stats
 from loomwork.plans.lineage import cut
 from loomwork.sinks import reports
@@ -63,16 +63,18 @@ def run(spark: SparkSession, command: str, folder: str, top: int = 50, out: str
             df.write.mode("overwrite").parquet(f"{out or folder + '-repaired'}/{name}.parquet")
         return json.dumps({r.check: r["count"] for r in report.collect()}, sort_keys=True)
     if command == "comments":
-        at = datetime.now(UTC).isoformat()
+        at = iso_now()
         archives, threads = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("archives", "threads"))
         result, counts = ingest.process(t, archives, threads, at)
         for name, df in result.items():
             df.write.mode("overwrite").parquet(f"{out or folder + '-ingested'}/{name}.parquet")
         return " ".join(["Comments ingested:", *[f"{k}={n}" for k, n in counts.items()]])
+    if command == "backfill":
+        return backfill.preview(backfill.targets(t["publications"], t["comment_publication_status"]))
     raise ValueError(f"unknown command {command}")
 
 
-COMMANDS = ("summarize", "view", "export", "centrality", "visualize", "layers", "distribution", "failed", "audit", "repair", "comments")
+COMMANDS = ("summarize", "view", "export", "centrality", "visualize", "layers", "distribution", "failed", "audit", "repair", "comments", "backfill")
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -136,7 +136,7 @@ def first_truthy(*values: Column) -> Column:
 
 
 def string_or_none(value: str | Column) -> Column:
-    """FN-16: any value as text; null stays null, and a JSON value's null is one too."""
+    """FN-16: any value as text; null stays null."""
     return _col(value).cast("string")
 
 
