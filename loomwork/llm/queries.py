@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat_format, decontaminate, language_id, license_scan, oracles, piece_codec, quality_qda, quality_rules, simhash_dedup, token_files, url_trust
+from loomwork.llm import chat_format, decontaminate, language_id, license_scan, oracles, piece_codec, quality_qda, quality_rules, simhash_dedup, token_alignment, token_files, url_trust
 from loomwork.plans.lineage import cut, fresh_folder
 from loomwork.plans.shipping import ship
 
@@ -95,6 +95,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoding_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_trust": op1_url_trust,
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
