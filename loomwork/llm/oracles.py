@@ -73,5 +73,50 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(fails)}) AS kept FROM b"""
 
 
+def _crc32(text: str) -> str:
+    """The checksum of an ASCII text, bit by bit."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    byte = f"list_reduce(range(8), lambda c, i: {bit}, xor(crc, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::UBIGINT), lambda crc, b: {byte}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def _repair() -> str:
+    """The decoder's four states as columns, one recursion for each row; a state is (cost, initials, repaired lines)."""
+    blanks, state = "[\\x20\\x09-\\x0D]", "STRUCT(c BIGINT, p VARCHAR, x VARCHAR)"
+    then = lambda s, cost, edit, said="''", when="true": f"CASE WHEN {s} IS NOT NULL AND {when} THEN {{'c': {s}.c + {cost}, 'p': {s}.p || '{edit}', 'x': {s}.x || {said}}}::{state} END"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    user, assistant = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    insert_u = least("u", *[then(s, 5, "I", user) for s in ("n", "s", "a")])
+    insert_a = least("a", then("u0", 5, "I", assistant))
+    said = "role || ':' || text || chr(10)"
+    keep = lambda s, kind: then(s, "off", "K", said, f"NOT must AND kind = '{kind}'")
+    turned = lambda s, role: then(s, "off + 1", "R", f"'{role}:' || text || chr(10)", "NOT must")
+    before_u = ("n", "s", "a0")
+    return f"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM src WHERE kind <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM dam),
+flt AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+  NOT regexp_matches(text, '[.!?]{blanks}*$') AS broken, role[1] AS kind, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) AS prev FROM num),
+r AS (SELECT conv_id, k, turn, role, text, kind, blank OR again AS must, CASE WHEN broken THEN 5 ELSE 0 END AS off, blank, again AND NOT blank AS dup,
+  broken AND NOT blank AND NOT again AS cut, prev IS NOT NULL AND prev || kind NOT IN ('su', 'ua', 'au') AS bad FROM flt),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (cut) AS truncated, count(*) FILTER (bad) AS illegal, max(k) AS last FROM r GROUP BY conv_id),
+steps(conv_id, k, n, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'p': '', 'x': ''}}::{state}, NULL::{state}, NULL::{state}, NULL::{state} FROM counts
+  UNION ALL
+  SELECT conv_id, k, {then("n", 2, "D")}, {least(then("s", 2, "D"), keep("n", "s"))},
+    {least(then("u0", 2, "D"), *[keep(x, "u") for x in before_u], *[turned(x, "user") for x in before_u])},
+    {least(then("a0", 2, "D"), keep("u0", "a"), turned("u0", "assistant"))}
+  FROM (SELECT *, {insert_a} AS a0 FROM (SELECT *, {insert_u} AS u0 FROM
+    (SELECT r.conv_id, r.k, r.role, r.text, r.kind, r.must, r.off, n, s, u, a FROM steps p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.k = p.k + 1)))),
+fin AS (SELECT conv_id, {least("n", insert_a)} AS w FROM (SELECT p.conv_id, n, s, a, {insert_u} AS u0 FROM steps p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.last = p.k))
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost, coalesce(w.p, '') AS audit, sha256(coalesce(left(w.x, length(w.x) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN fin f ON f.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _chat(), "op8_license_scan": _license(), "op9_quality_rules": _rules()}
+    return {"op2_chat_format": _chat(), "op8_license_scan": _license(), "op9_quality_rules": _rules(), "op13_conversation_repair": _repair()}

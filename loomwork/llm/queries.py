@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat_format, decontaminate, language_id, license_scan, oracles, piece_codec, quality_qda, quality_rules, simhash_dedup, token_alignment, token_files, url_trust
+from loomwork.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, oracles, piece_codec, quality_qda, quality_rules, simhash_dedup, token_alignment, token_files, url_trust
 from loomwork.plans.lineage import cut, fresh_folder
 from loomwork.plans.shipping import ship
 
@@ -99,6 +99,25 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.aligned_documents(table(spark, sf_dir, "documents"))
 
 
+def damaged(convs: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text)`` with one row in four damaged, by the checksum of its id and turn; nulls are one space."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")), F.lit(20))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(spaced("text"), "[.!?]", "")).otherwise(spaced("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(spaced("role"))
+    copies = F.sequence(F.lit(0), F.when(F.col("kind") == 3, 1).otherwise(0))
+    rows = convs.withColumn("kind", kind).where("kind <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+    return rows.drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.audited(damaged(convs)).withColumnRenamed("conv_id", "of")
+    every = convs.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_trust": op1_url_trust,
@@ -112,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_token_alignment": op11_token_alignment,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
