@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, oracles, piece_codec, quality_qda, quality_rules, simhash_dedup, token_alignment, token_files, url_trust
+from loomwork.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, ngram_join, oracles, piece_codec, quality_qda, quality_rules, simhash_dedup, token_alignment, token_files, url_trust
 from loomwork.plans.lineage import cut, fresh_folder
 from loomwork.plans.shipping import ship
 
@@ -99,6 +99,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.aligned_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def damaged(convs: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, text)`` with one row in four damaged, by the checksum of its id and turn; nulls are one space."""
     spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -131,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_token_alignment": op11_token_alignment,
+        "op12_ngram_jaccard": op12_ngram_jaccard,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
