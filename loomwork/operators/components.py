@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.plans.lineage import written
+from loomwork.plans.lineage import discard, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -23,6 +23,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     one_way = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = written(one_way.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    older = None
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("a"), "label"), "a")
         heard = seen.groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
@@ -30,7 +31,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = lower.join(onward, "label", "left").select("node", "was", F.least("label", "further").alias("label"))
         done = written(jumped)
-        labels = done.select("node", "label")
+        if older is not None:
+            discard(older)
+        labels, older = done.select("node", "label"), done
         if done.where("label <> was").isEmpty():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

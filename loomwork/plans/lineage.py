@@ -44,4 +44,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """
     folder = fresh_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table.written_to = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        folder = table.__dict__.pop("written_to", None)
+        if folder:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
