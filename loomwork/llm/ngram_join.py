@@ -20,7 +20,7 @@ clashes of 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from loomwork.llm.batches import slices
 from loomwork.operators.components import connected_components
-from loomwork.plans.lineage import cut, written
+from loomwork.plans.lineage import cut, discard, written
 from loomwork.plans.shipping import ship
 
 WORDS, SIMILARITY = 5, 0.8
@@ -39,7 +39,7 @@ SEED = 42
 #: Longs of a set's parities, each of 64 classes.
 PARITIES = 8
 #: Hashes that are counted in one run, and how often an n-gram must repeat, over all runs, to be a frequent one.
-COUNT_RUN, FREQUENT = 1 << 22, 4
+COUNT_RUN, FREQUENT = 1 << 21, 4
 #: Most frequent n-grams whose order travels to the workers; where there are more, the less frequent ones count as rare.
 MOST_FREQUENT = 1_000_000
 #: Rows of numbers (at most 40 bytes each), and bytes of sets, that are broadcast; more are joined by shuffling.
@@ -47,7 +47,9 @@ MOST_ROWS, MOST_SET_BYTES = 1_000_000, 32 << 20
 #: Rounds in which each component tries its likeliest pair before all open ones are tried.
 ROUNDS = 2
 #: Words whose hashes a worker keeps; beyond it the memory starts afresh, which costs time only.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
+#: Hashes of sets that one run of arrays holds at most, unless a single set is larger.
+RUN_HASHES = 1 << 18
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -89,18 +91,20 @@ def parities(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, node, n, s, x_0 .., *keep)`` of every row, written to the shared folder.
+def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: tuple[str, ...] = (), more: Callable[[list[bytes]], dict[str, pa.Array]] | None = None, more_schema: str = "") -> DataFrame:
+    """``(doc_id, *keep, node, n, s, x_0 .., *more)`` of every row, written to the shared folder.
 
     ``node`` is the set's hash (null for an empty set), ``n`` its size, ``s`` its sorted hashes and ``x_k`` its parities.  Of copies that one
-    run of rows holds, only the first carries ``s``.  ``keep`` names further columns that stay.
+    run of rows holds, only the first carries ``s``.  ``keep`` names further columns that stay; ``more`` makes columns of its own from
+    the texts, which ``more_schema`` names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for start, part in slices(batch.column(0)):
-                sets = [ngram_set(t or b"", hashes, words) for t in part.cast(pa.binary()).to_pylist()]
+                texts = [t or b"" for t in part.cast(pa.binary()).to_pylist()]
+                sets = [ngram_set(t, hashes, words) for t in texts]
                 nodes = [xxhash.xxh3_64_intdigest(s.tobytes(), SEED) if len(s) else None for s in sets]
                 signed = [v - (1 << 64) if v is not None and v >= 1 << 63 else v for v in nodes]
                 first = dict(zip(reversed(nodes), range(len(nodes) - 1, -1, -1), strict=True))
@@ -109,13 +113,15 @@ def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in held])]).astype(np.int32)
                 columns = [pa.array(signed, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))]
                 rest = [c.slice(start, len(part)) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*rest, *columns, *[pa.array(odd[:, k]) for k in range(PARITIES)]], names=[*names, "node", "n", "s", *[f"x_{k}" for k in range(PARITIES)]])
+                made = more(texts) if more else {}
+                yield pa.RecordBatch.from_arrays([*rest, *columns, *[pa.array(odd[:, k]) for k in range(PARITIES)], *made.values()], names=[*names, "node", "n", "s", *[f"x_{k}" for k in range(PARITIES)], *made])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
     names = rows.columns[1:]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return written(rows.mapInArrow(run, f"{kinds}, node long, n int, s array<long>, " + ", ".join(f"x_{k} long" for k in range(PARITIES))), "sets")
+    schema = [kinds, "node long, n int, s array<long>", *[f"x_{k} long" for k in range(PARITIES)], *([more_schema] if more else [])]
+    return written(rows.mapInArrow(run, ", ".join(schema)), "sets")
 
 
 def frequent_ngrams(sets: DataFrame) -> np.ndarray:
@@ -133,7 +139,7 @@ def frequent_ngrams(sets: DataFrame) -> np.ndarray:
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(h[c > 1]), pa.array(c[c > 1])], names=["h", "c"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _runs(whole, 0)):
             held.append(batch.column(0).flatten().to_numpy())
             if sum(map(len, held)) >= COUNT_RUN:
                 yield from counted()
@@ -149,6 +155,16 @@ def frequent_ngrams(sets: DataFrame) -> np.ndarray:
     return h[np.lexsort((h, c))]
 
 
+def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose lists in ``column`` have about ``RUN_HASHES`` values together."""
+    stops = batch.column(column).offsets.to_numpy()
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(stops, stops[first] + RUN_HASHES, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(n * similarity - 1e-6).astype(np.int64) + 1
 
@@ -160,7 +176,7 @@ def prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _runs(whole, 1)):
             s = batch.column(1)
             n = np.diff(s.offsets.to_numpy())
             values, of = s.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
@@ -197,7 +213,9 @@ def prefix_index(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     index = written(led.where("part > 0 OR least <> most").select("h", "node", "n", "pos", "lead", (F.col("part") > 0).alias("hot")), "led")
     tops = written(index.where("hot").groupBy("h").agg(F.min("lead").alias("top"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("h", "top"), "tops")
     hot = index.where("hot").select("h", "node", "n", "pos").distinct().join(sized(tops), "h").select("h", "node", "n", "pos", F.col("top").alias("lead"))
-    return written(index.where("NOT hot").drop("hot").distinct().union(hot), "index")
+    found = written(index.where("NOT hot").drop("hot").distinct().union(hot), "index")
+    discard(index, tops)
+    return found
 
 
 # Filters -----------------------------------------------------------------------------------------
@@ -223,13 +241,14 @@ def _counts_fit(shared: Column, n_a: Column, n_b: Column, similarity: float) ->
 
 
 def _suffixes_fit(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs (a, n_a, b, n_b, ..)`` whose parities differ in no more places than the sets may be apart."""
+    """Those of ``pairs (a, b, ..)`` whose parities differ in no more places than the sets may be apart; ``nodes (node, n, x_0 ..)``."""
     bits = [f"x_{k}" for k in range(PARITIES)]
     both = pairs
     for end in ("a", "b"):
-        both = both.join(nodes.select(F.col("node").alias(end), *[F.col(x).alias(f"{end}{x}") for x in bits]), end)
+        both = both.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(x).alias(f"{end}{x}") for x in bits]), end)
+    n_a, n_b = F.col("n_a"), F.col("n_b")
     apart = sum(F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits)
-    return both.where(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), similarity)).select(*pairs.columns)
+    return both.where(_lengths_fit(n_a, n_b, similarity) & (apart <= n_a + n_b - 2 * _needed(n_a, n_b, similarity))).select(*pairs.columns)
 
 
 # Joining -----------------------------------------------------------------------------------------
@@ -251,7 +270,7 @@ def _nodes_of(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFram
 
 
 def star_pairs(index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, n_a, b, n_b, shared)``: members of buckets with their leads that pass the filters on lengths, positions and counts."""
+    """``(a, b, shared)``: members of buckets with their leads that pass the filters on lengths, positions and counts."""
     n_a, pos_a, n_b, pos_b = F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos")
     rows = index.where((F.col("lead.node") != F.col("node")) & _lengths_fit(n_a, n_b, similarity) & _positions_fit(n_a, pos_a, n_b, pos_b, similarity))
     least, most = F.least("lead.node", "node"), F.greatest("lead.node", "node")
@@ -262,15 +281,15 @@ def star_pairs(index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _counted(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, n_a, b, n_b, shared)`` that pass the count filter; ``met`` has a row for each shared n-gram with what can stand ``behind`` it."""
+    """Pairs ``(a, b, shared)`` that pass the count filter; ``met`` has a row for each shared n-gram with what can stand ``behind`` it."""
     counted = met.groupBy("a", "n_a", "b", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.min("behind").alias("behind"))
     shared, n_a, n_b = F.col("shared"), F.col("n_a"), F.col("n_b")
     fits = _counts_fit(shared, n_a, n_b, similarity) & (shared + F.col("behind") >= _needed(n_a, n_b, similarity))
-    return counted.where(fits).select("a", "n_a", "b", "n_b", "shared")
+    return counted.where(fits).select("a", "b", "shared")
 
 
 def left_pairs(index: DataFrame, homes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, n_a, b, n_b, shared)``: pairs of different components that can still be alike.
+    """``(a, b, shared)``: pairs of different components that can still be alike.
 
     The number of a set's prefix n-grams that are found in other components bounds what it can share with any of them.
     """
@@ -280,7 +299,8 @@ def left_pairs(index: DataFrame, homes: DataFrame, similarity: float = SIMILARIT
     held = there.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
     shares = there.groupBy("h", "of").agg(F.count(F.lit(1)).alias("share"))
     main = shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main"))
-    there = written(there.join(held, "node").join(main, "h").select("h", "node", "n", "pos", "of", "held", (F.col("of") == F.col("main")).alias("in_main")), "open")
+    before, there = there, written(there.join(held, "node").join(main, "h").select("h", "node", "n", "pos", "of", "held", (F.col("of") == F.col("main")).alias("in_main")), "open")
+    discard(before)
     x = there.where("NOT in_main").select("h", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "of", "held")])
     y = there.select(F.col("h").alias("h_y"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "of", "held")], "in_main")
     n_x, n_y = F.col("n_x"), F.col("n_y")
@@ -322,31 +342,46 @@ def _likeliest(open_pairs: DataFrame) -> DataFrame:
     return written(sides.groupBy("of").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "picks")
 
 
-def _linked_over(pairs: DataFrame, homes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``homes`` after all ``pairs`` between different components have been tried, likely ones first."""
-    nodes = _nodes_of(pairs, sets, [f"x_{k}" for k in range(PARITIES)])
-    pairs = written(_suffixes_fit(pairs, nodes, similarity), "pairs")
-    found = _nodes_of(pairs, sets, ["s"])
-    homes = written(homes.union(found.select("node", F.col("node").alias("of")).join(homes, "node", "left_anti")), "homes")
+def linked_over(pairs: DataFrame, homes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``homes (node, of)`` after all ``pairs (a, b, shared)`` between different components have been tried, likely ones first.
+
+    ``homes`` is a table of ``written`` that nothing else reads; it is deleted.
+    """
+    nodes = _nodes_of(pairs, sets, ["n", *[f"x_{k}" for k in range(PARITIES)]])
+    tried = written(_suffixes_fit(pairs, nodes, similarity), "pairs")
+    found = _nodes_of(tried, sets, ["s"])
+    discard(nodes)
+    before, homes = homes, written(homes.union(found.select("node", F.col("node").alias("of")).join(homes, "node", "left_anti")), "homes")
+    discard(before)
+    left = tried
     for k in range(ROUNDS + 1):
-        open_pairs = _placed(pairs, homes)
+        open_pairs = _placed(left, homes)
         picks = written(open_pairs.select("a", "b"), "picks") if k == ROUNDS else _likeliest(open_pairs)
         if picks.isEmpty():
             break
-        homes = _joined(homes, alike(picks, found, similarity))
-        pairs = pairs.join(picks, ["a", "b"], "left_anti")
+        links = alike(picks, found, similarity)
+        before, homes = homes, _joined(homes, links)
+        discard(before, links)
+        left = left.join(picks, ["a", "b"], "left_anti")
+    discard(tried, found)
     return homes
 
 
 def linked(sets: DataFrame, similarity: float = SIMILARITY, homes: DataFrame | None = None) -> DataFrame:
     """``(node, of)``: the component of every node that has a candidate; ``of`` is its smallest node.
 
-    ``homes`` may hold components that are known already.
+    ``homes``, a table of ``written``, may hold components that are known already.
     """
     index = prefix_index(sets, similarity)
-    homes = homes if homes is not None else sets.sparkSession.createDataFrame([], "node long, of long")
-    homes = _linked_over(written(star_pairs(index, similarity), "star"), homes, sets, similarity)
-    return _linked_over(written(left_pairs(index, homes, similarity), "left"), homes, sets, similarity)
+    if homes is None:
+        homes = written(sets.select("node", F.col("node").alias("of")).where("false"), "homes")
+    star = written(star_pairs(index, similarity), "star")
+    homes = linked_over(star, homes, sets, similarity)
+    left = written(left_pairs(index, homes, similarity), "left")
+    discard(star, index)
+    homes = linked_over(left, homes, sets, similarity)
+    discard(left)
+    return homes
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -361,5 +396,6 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     homes = linked(sets, similarity)
     marked = sets.select("doc_id", "node", "n").join(homes, "node", "left").withColumn("of", F.coalesce("of", "node"))
     marked = cut(marked.select("doc_id", "n", "of"))
+    discard(sets, homes)
     smallest = marked.where("of IS NOT NULL").groupBy("of").agg(F.min("doc_id").alias("component_id"))
     return marked.join(smallest, "of", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -9,8 +9,9 @@ decoded bytes of the tokens before it.
 Where both sides end a token at the same byte, a group ends.  A link is a pair of tokens whose byte ranges overlap: every stretch
 between neighbouring ends of either side lies in just one token of A and one of B, so stretches are links.
 
-Both tokenizers cut before a blank or line feed that no white space precedes, so a text falls apart there into chunks; each
-distinct chunk is aligned once, many of them in one flat run of numpy arrays.
+Both tokenizers cut before a blank or line feed that no white space precedes, and between a letter and a mark like a comma, so a text
+falls apart there into chunks.  A worker remembers the alignments of chunks; new ones are aligned many at a time, in one flat
+run of numpy arrays.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,8 +33,8 @@ from loomwork.llm.piece_codec import SPACE, default_model
 from loomwork.llm.token_files import default_tokenizer
 from loomwork.plans.lineage import written
 
-#: Chunks whose alignment a worker keeps; beyond it the memory starts afresh, which costs time only.
-REMEMBERED = 400_000
+#: New chunks after which a worker forgets those that it has not met since as many before; what is met again costs time only.
+REMEMBERED = 150_000
 #: Chunks that are aligned in one flat run.
 RUN_CHUNKS = 1 << 13
 #: Id pairs (of fixed width) that are broadcast with their counts; more of them are joined by shuffling.
@@ -41,7 +43,9 @@ MOST_PAIRS = 2_000_000
 LOW = 32
 
 _TWO_BLANKS = re.compile(r"\s\s")
-_CUTS = re.compile(r"(?<=\S)(?=[ \n])")
+#: Letters and marks between which both tokenizers cut, if no piece holds a letter before another character.
+_MARKED = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?*%$&#|])")
+_CUTS = re.compile(rf"(?<=\S)(?=[ \n])|{_MARKED.pattern}")
 _NONE = ("", b"", 0, 0)
 
 
@@ -53,8 +57,15 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids end to end, ids of each row)."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((x for row in rows for x in row), np.int64, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum())), sizes
+
+
+def _flat_spans(rows: list[list[tuple[int, int]]], tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first characters, end characters) of all tokens."""
+    both = np.fromiter(chain.from_iterable(chain.from_iterable(rows)), np.int64, 2 * tokens)
+    return both[::2], both[1::2]
 
 
 class Aligner:
@@ -79,11 +90,14 @@ class Aligner:
         layers = json.loads(spec)
         form = layers.get("pre_tokenizer") or {}
         cut_a = layers.get("normalizer") is None and form.get("type") == "ByteLevel" and form.get("use_regex", True) and not form.get("add_prefix_space")
-        cut_b = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) and not self.b.is_unknown(self.blank)
+        texts = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        mixed = any(x.isalpha() and not y.isalpha() for p in texts for x, y in zip(p, p[1:], strict=False))
+        cut_b = not mixed and not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in texts) and {SPACE, f"{SPACE}a"} <= set(texts)
         self.can_cut = bool(cut_a and cut_b)
         names = [str(i) for i in range(max(len(self.bytes_a), n))]
         self.width, self.named = len(names), [x + mark for mark in (",", "|", ";") for x in names]
         self.known: dict[str, tuple[str, bytes, int, int]] = {}
+        self.older: dict[str, tuple[str, bytes, int, int]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """``text`` after one space in parts that both tokenizers cut at."""
@@ -92,33 +106,33 @@ class Aligner:
             return [spaced]
         if _TWO_BLANKS.search(spaced):
             return _CUTS.split(spaced)
-        return [p if p[:1] == "\n" else " " + p for p in text.replace("\n", " \n").split(" ")]
+        words = text.replace("\n", " \n").replace(" ", "\0 ") if "\0" not in text else None
+        if words is None:
+            return _CUTS.split(spaced)
+        words = [" ", *_MARKED.sub("\0", words).split("\0")]
+        words[:2] = [words[0] + words[1]]
+        return [w[1:] if w[:2] == " \n" else w for w in words]
 
-    def _tokens_a(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
-        """(ids, first characters, end characters) of each chunk."""
+    def _tokens_a(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first characters, end characters, tokens of each chunk), flat."""
         found = self.a.encode_batch(chunks, add_special_tokens=False)
-        spans = [e.offsets for e in found]
-        return [e.ids for e in found], [[s for s, _ in x] for x in spans], [[e for _, e in x] for x in spans]
-
-    def _tokens_b(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
-        """As ``_tokens_a``; the dummy prefix stands for a chunk's own blank, and is taken away where it has none."""
-        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], return_type="offset_mapping", num_threads=1)
-        ids, firsts, ends = [], [], []
-        for c, x in zip(chunks, found, strict=True):
-            blank = c[0] == " "
-            if blank and len(c) == 1:
-                ids.append([self.blank]), firsts.append([0]), ends.append([1])
-                continue
-            own = slice(0 if blank else 1, None)
-            ids.append(x["ids"][own])
-            firsts.append([s + blank for s, _ in x["offsets"][own]])
-            ends.append([e + blank for _, e in x["offsets"][own]])
-        return ids, firsts, ends
+        ids, sizes = _flat([e.ids for e in found])
+        return ids, *_flat_spans([e.offsets for e in found], len(ids)), sizes
+
+    def _tokens_b(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_tokens_a``; the dummy prefix stands for a chunk's own blank.  Other chunks are read after a letter, whose token is taken away."""
+        blank = [c[0] == " " for c in chunks]
+        found = self.b.encode([c[1:] if own else f"a{c}" for c, own in zip(chunks, blank, strict=True)], return_type="offset_mapping", num_threads=1)
+        lone = {"ids": [self.blank], "offsets": [(-1, 0)]}
+        found = [lone if c == " " else x for c, x in zip(chunks, found, strict=True)]
+        ids, sizes = _flat([x["ids"] if own else x["ids"][1:] for x, own in zip(found, blank, strict=True)])
+        first, end = _flat_spans([x["offsets"] if own else x["offsets"][1:] for x, own in zip(found, blank, strict=True)], len(ids))
+        shift = np.repeat(np.where(blank, 1, -1), sizes)
+        return ids, first + shift, end + shift, sizes
 
     def _ends(self, tokens: tuple, lengths: np.ndarray, spelled: list[bytes], chunks: list[bytes], chars: np.ndarray, char_base: np.ndarray, byte_base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, end bytes in the flat run, tokens of each chunk, whether the chunk's bytes are the tokens' bytes)."""
-        ids, sizes = _flat(tokens[0])
-        first, end = _flat(tokens[1])[0], _flat(tokens[2])[0]
+        ids, first, end, sizes = tokens
         of = np.repeat(np.arange(len(sizes)), sizes)
         own = np.cumsum(lengths[ids])
         before = np.concatenate([[0], own])[np.cumsum(sizes) - sizes]
@@ -185,12 +199,13 @@ class Aligner:
         Texts that are null, empty or not the bytes of their tokens have no tokens.
         """
         cuts = [self.chunks(t) if t and SPACE not in t else [] for t in texts]
-        known = self.known
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         missing = {c for parts in cuts for c in parts if c not in known}
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = {c for parts in cuts for c in parts}
-        self.learn(list(missing))
+        met = {c: older[c] for c in missing if c in older}
+        known.update(met)
+        self.learn([c for c in missing if c not in met])
         out = []
         for parts in cuts:
             found = [known[c] for c in parts]

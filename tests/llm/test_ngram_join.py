@@ -106,10 +106,10 @@ def test_a_large_group_of_near_copies(spark):
     rows = [(k, " ".join(edited(rng, base, rng.randrange(5)))) for k in range(1200)] + [(5000 + k, " ".join(base)) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     sets = ngram_join.ngram_sets(docs)
-    index = ngram_join.prefix_index(sets)
-    star = ngram_join.written(ngram_join.star_pairs(index))
+    star = ngram_join.written(ngram_join.star_pairs(ngram_join.prefix_index(sets)))
     assert star.count() < 20 * len(rows)
-    assert got(ngram_join.joined(docs)) == brute(rows)
+    # Four edits leave at least 276 of 296 shingles, so all are linked with the text without edits.
+    assert {(i, c) for i, _, c in got(ngram_join.joined(docs))} == {(i, 0) for i, _ in rows}
 
 
 def test_filters_keep_every_pair_at_the_threshold(spark):
