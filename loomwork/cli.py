@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions import text
 from loomwork.functions.text import iso_now
 from loomwork.operators import audit, backfill, graph, ingest, layers, repair, stats
 from loomwork.plans.lineage import cut
@@ -18,14 +18,39 @@ from loomwork.sinks import reports
 TABLES = ("publications", "recommendations", "queue", "users", "posts", "comments", "comment_publication_status")
 
 
-def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The model tables that are in a folder."""
-    return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES if Path(f"{folder}/{t}.parquet").exists()}
+class Missing(ValueError):
+    """A command's tables are not in the folder."""
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def load(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+    """The named tables that are in a folder of any file system."""
+    return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in names if exists(spark, f"{folder}/{t}.parquet")}
+
+
+#: Tables without which a command can't run.
+NEEDED = {
+    "centrality": ("recommendations", "publications", "queue"),
+    "visualize": ("recommendations", "publications"),
+    "layers": ("queue",),
+    "distribution": ("recommendations", "publications"),
+    "failed": ("queue",),
+    "comments": ("posts", "users", "comments", "archives", "threads"),
+    "backfill": ("publications", "comment_publication_status"),
+}
 
 
 def run(spark: SparkSession, command: str, folder: str, top: int = 50, out: str | None = None) -> str:
     """The text that a command prints; files go to ``out`` if it is given."""
     t = load(spark, folder)
+    landed = load(spark, folder, ("archives", "threads")) if command == "comments" else {}
+    lacking = [n for n in NEEDED.get(command, ()) if n not in t and n not in landed]
+    if lacking:
+        raise Missing(f"{folder} has no {', '.join(f'{n}.parquet' for n in lacking)}")
     if command == "summarize":
         counts = "\n".join(f"{name}: {df.count()}" for name, df in t.items())
         by_status = "\n".join(f"queue {r.status}: {r.domains}" for r in backfill.summary(t["queue"].select("status")).orderBy("status").collect()) if "queue" in t else ""
@@ -45,7 +70,8 @@ def run(spark: SparkSession, command: str, folder: str, top: int = 50, out: str
     if command == "visualize":
         edges = cut(graph.edges_of(t["recommendations"]))
         nodes = cut(stats.sizes(graph.top_nodes(graph.pagerank(edges), top)))
-        shown = nodes.select("node", F.col("node").alias("label"), "size", F.concat(F.lit("https://"), "node").alias("url"))
+        names = t["publications"].select(F.col("domain").alias("node"), "name").dropDuplicates(["node"])
+        shown = nodes.join(names, "node", "left").select("node", text.graph_label(text.display_name("name", "node")).alias("label"), "size", text.archive_url("node").alias("url"))
         return reports.graph_html(shown, graph.induced(edges, nodes))
     if command == "layers":
         return reports.layers_html(layers.layer_stats(t["queue"]), layers.progress(t["queue"]))
@@ -64,8 +90,7 @@ def run(spark: SparkSession, command: str, folder: str, top: int = 50, out: str
         return json.dumps({r.check: r["count"] for r in report.collect()}, sort_keys=True)
     if command == "comments":
         at = iso_now()
-        archives, threads = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("archives", "threads"))
-        result, counts = ingest.process(t, archives, threads, at)
+        result, counts = ingest.process(t, landed["archives"], landed["threads"], at)
         for name, df in result.items():
             df.write.mode("overwrite").parquet(f"{out or folder + '-ingested'}/{name}.parquet")
         return " ".join(["Comments ingested:", *[f"{k}={n}" for k, n in counts.items()]])

@@ -154,15 +154,27 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 
 def depth_measures(ranks: DataFrame, depths: DataFrame, digits: int = 10) -> DataFrame:
-    """Rank against depth: ``pr / (1 + depth)`` and how many nodes at least as deep rank higher (GR-11)."""
-    rows = ranks.select("node", F.round("pr", digits).alias("pr")).join(depths, "node")
-    return rows.select("node", "depth", "pr", (F.col("pr") / (1 + F.col("depth"))).alias("pr_by_depth"))
+    """Rank against depth: ``pr / (1 + depth)``, and the place by ``pr`` among the nodes at least as deep, equal ones alike (GR-11).
+
+    A node's place is one more than the number of nodes at least as deep that rank higher.  Nodes are counted by depth and rounded
+    rank before the counts of each depth are summed up in order.
+    """
+    rows = ranks.select("node", F.round("pr", digits).alias("pr")).join(depths, "node").where("depth IS NOT NULL")
+    rows = cut(rows)
+    levels = rows.select(F.col("depth").alias("level")).distinct()
+    # One row for each node and depth down to its own: it counts at all depths that it is at least as deep as.
+    spread = rows.join(F.broadcast(levels), F.col("level") <= F.col("depth"))
+    counts = spread.groupBy("level", "pr").agg(F.count(F.lit(1)).alias("here"))
+    before = Window.partitionBy("level").orderBy(F.desc("pr")).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(F.col("level").alias("depth"), "pr", (F.coalesce(F.sum("here").over(before), F.lit(0)) + 1).alias("place"))
+    return rows.join(places, ["depth", "pr"]).select("node", "depth", "pr", (F.col("pr") / (1 + F.col("depth"))).alias("pr_by_depth"), "place")
 
 
 def failure_by_kind(queue: DataFrame) -> DataFrame:
-    """Failed and all rows by kind of domain: custom (dotted) or platform (GR-12)."""
+    """Failed and all rows and their ratio, by kind of domain: custom (dotted) or platform (GR-12)."""
     kind = F.when(F.col("domain").contains("."), "custom").otherwise("platform")
-    return queue.groupBy(kind.alias("kind")).agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count(F.lit(1)).alias("domains"))
+    counts = queue.groupBy(kind.alias("kind")).agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count(F.lit(1)).alias("domains"))
+    return counts.withColumn("ratio", F.col("failed") / F.col("domains"))
 
 
 def discovery_by_seed(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:

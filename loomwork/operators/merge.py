@@ -62,6 +62,12 @@ def merge(current: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[
     old = current.select(F.struct(*columns).alias("old"), *[F.col(k).alias(f"_{k}") for k in keys])
     new = given.select(F.struct(*columns).alias("new"), *[F.col(k).alias(f"_{k}") for k in keys])
     both = old.join(new, [f"_{k}" for k in keys], "full_outer")
+    values, action = merged_row(columns, types, keys, rules, ignore_changes)
+    return both.select(*values, action.alias("action"))
+
+
+def merged_row(columns: list[str], types: dict[str, str], keys: list[str], rules: dict[str, Rule], ignore_changes: tuple[str, ...] = ()) -> tuple[list[Column], Column]:
+    """The columns of a row and its action, of the structs ``old`` and ``new``, one of which may be null; see ``merge``."""
     merged, changes = [], F.lit(False)
     for c in columns:
         before, after = F.col(f"old.{c}"), F.col(f"new.{c}")
@@ -71,7 +77,7 @@ def merge(current: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[
         if c not in keys and c not in ignore_changes:
             changes = changes | ~value.eqNullSafe(before)
     action = F.when(F.col("new").isNull(), None).when(F.col("old").isNull(), "created").when(changes, "updated").otherwise("unchanged")
-    return both.select(*merged, action.alias("action"))
+    return merged, action
 
 
 def upsert_publications(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -94,7 +100,8 @@ def add_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
 def set_status(queue: DataFrame, domains: DataFrame, status: str) -> DataFrame:
     """DML-4."""
     marked = domains.select("domain", F.lit(True).alias("_hit")).dropDuplicates(["domain"])
-    return queue.join(marked, "domain", "left").select("domain", F.when(F.col("_hit"), status).otherwise(F.col("status")).alias("status"), "depth")
+    value = F.when(F.col("_hit"), status).otherwise(F.col("status"))
+    return queue.join(marked, "domain", "left").select(*[value.alias(c) if c == "status" else F.col(c) for c in queue.columns])
 
 
 def upsert_topics(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as fn
 from loomwork.operators import audit, backfill, classify, comments, constraints, embeddings, graph, layers, merge, repair, stats
-from loomwork.plans.lineage import cut, written
+from loomwork.plans.lineage import cut, fresh_folder, written
 from loomwork.plans.views import ctes, view
+from loomwork.sinks import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -197,15 +198,21 @@ def weak_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.weak_components(_edges(spark, sf))
 
 
-@_register("depth_vs_pagerank", f"WITH RECURSIVE {RANKS}, {ctes('queue')} SELECT r.node, q.depth, round(r.p, 8) AS pr, round(r.p, 8) / (1 + q.depth) AS pr_by_depth FROM ranks r JOIN queue q ON q.domain = r.node")
+@_register(
+    "depth_vs_pagerank",
+    f"""WITH RECURSIVE {RANKS}, {ctes('queue')}, j AS (SELECT r.node, q.depth, round(r.p, 8) AS pr FROM ranks r JOIN queue q ON q.domain = r.node)
+SELECT node, depth, pr, pr / (1 + depth) AS pr_by_depth, (SELECT count(*) FROM j b WHERE b.depth >= j.depth AND b.pr > j.pr)::BIGINT + 1 AS place FROM j""",
+)
 def depth_vs_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     depths = view(spark, sf, "queue").select(F.col("domain").alias("node"), "depth")
     return graph.depth_measures(_ranks(spark, sf)[1], depths, digits=8)
 
 
-@_register("failed_by_kind", f"WITH {ctes('queue')} SELECT CASE WHEN contains(domain, '.') THEN 'custom' ELSE 'platform' END AS kind, count(*) FILTER (status = 'failed')::BIGINT AS failed, count(*)::BIGINT AS domains FROM queue GROUP BY 1")
+@_register("failed_by_kind", f"WITH {ctes('queue')}, c AS (SELECT CASE WHEN contains(domain, '.') THEN 'custom' ELSE 'platform' END AS kind, count(*) FILTER (status = 'failed')::BIGINT AS failed, count(*)::BIGINT AS domains FROM (SELECT domain, status FROM queue UNION ALL SELECT domain || '.org', CASE WHEN depth % 3 = 0 THEN 'failed' ELSE status END FROM queue WHERE depth > 1) GROUP BY 1) SELECT kind, failed, domains, failed / domains AS ratio FROM c")
 def failed_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.failure_by_kind(view(spark, sf, "queue"))
+    queue = view(spark, sf, "queue")
+    custom = queue.where("depth > 1").withColumns({"domain": F.concat("domain", F.lit(".org")), "status": F.when(F.col("depth") % 3 == 0, "failed").otherwise(F.col("status"))})
+    return graph.failure_by_kind(queue.unionByName(custom))
 
 
 @_register("discovery_by_seed")
@@ -615,17 +622,17 @@ def references_cleared(spark: SparkSession, sf: str) -> DataFrame:
     return constraints.references_cleared(tables)["comments"].select("id", "post_id", "user_id", "parent_comment_id")
 
 
-PROBES = "SELECT id AS probe, CASE WHEN id % 3 = 0 THEN external_user_id WHEN id % 3 = 1 THEN '' END AS external_user_id, CASE WHEN id % 3 <> 2 THEN profile_url END AS profile_url, CASE WHEN id % 7 = 0 THEN 'nobody' ELSE handle END AS handle FROM users"
+LOOKUPS = "SELECT id AS probe, CASE WHEN id % 3 = 0 THEN external_user_id WHEN id % 3 = 1 THEN '' END AS external_user_id, CASE WHEN id % 3 <> 2 THEN profile_url END AS profile_url, CASE WHEN id % 7 = 0 THEN 'nobody' ELSE handle END AS handle FROM users"
 
 
 @_register(
     "ordered_lookup",
-    f"WITH {ctes('users')}, p AS ({PROBES}) SELECT p.probe, coalesce(a.id, b.id, c.id) AS found_id FROM p "
+    f"WITH {ctes('users')}, p AS ({LOOKUPS}) SELECT p.probe, coalesce(a.id, b.id, c.id) AS found_id FROM p "
     + " ".join(f"LEFT JOIN (SELECT {k}, min(id) AS id FROM users GROUP BY {k}) {t} ON {t}.{k} = p.{k}" for t, k in (("a", "external_user_id"), ("b", "profile_url"), ("c", "handle"))),
 )
 def ordered_lookup(spark: SparkSession, sf: str) -> DataFrame:
     users = view(spark, sf, "users")
-    probes = spark.sql(PROBES.replace("FROM users", "FROM {users}"), users=users)
+    probes = spark.sql(LOOKUPS.replace("FROM users", "FROM {users}"), users=users)
     found = merge.ordered_lookup(probes, users, [["external_user_id"], ["profile_url"], ["handle"]], "probe")
     return found.select("probe", F.col("found.id").alias("found_id"))
 
@@ -640,6 +647,56 @@ def backfill_summary(spark: SparkSession, sf: str) -> DataFrame:
     return backfill.summary(_status(spark, sf))
 
 
+# Versions of tables -------------------------------------------------------------------------------
+
+
+def _next_queue(queue: DataFrame) -> DataFrame:
+    """The queue some time later: rows done, rows gone, rows added."""
+    later = queue.where("depth % 7 <> 6").withColumn("status", F.when((F.col("status") == "pending") & (F.col("depth") % 2 == 0), "crawled").otherwise(F.col("status")))
+    added = queue.where("depth % 5 = 1").select(F.concat(F.lit("new-"), "domain").alias("domain"), F.lit("pending").alias("status"), (F.col("depth") + 1).alias("depth"))
+    return later.unionByName(added)
+
+
+@_register(
+    "snapshot_changes",
+    f"""WITH {ctes('queue')}, later AS (
+  SELECT domain, CASE WHEN status = 'pending' AND depth % 2 = 0 THEN 'crawled' ELSE status END AS status, depth FROM queue WHERE depth % 7 <> 6
+  UNION ALL SELECT 'new-' || domain, 'pending', depth + 1 FROM queue WHERE depth % 5 = 1)
+SELECT coalesce(a.domain, b.domain) AS domain, CASE WHEN a.domain IS NULL THEN 'added' WHEN b.domain IS NULL THEN 'removed' ELSE 'changed' END AS change, a.status AS old_status, b.status AS new_status
+FROM queue a FULL JOIN later b ON a.domain = b.domain WHERE a.domain IS NULL OR b.domain IS NULL OR a.status IS DISTINCT FROM b.status OR a.depth IS DISTINCT FROM b.depth""",
+)
+def snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of a store, read while a third is committed over them."""
+    queue = view(spark, sf, "queue")
+    store = snapshots.SnapshotStore(fresh_folder(spark, "store"), keep=1)
+    first = store.commit({"queue": queue})
+    with store.reader(spark, first) as before:
+        store.commit({"queue": _next_queue(before.table("queue"))}, expected=first)
+        with store.reader(spark) as after:
+            store.commit({"queue": queue.where("depth < 0")})
+            changes = snapshots.changes_between(before.table("queue"), after.table("queue"), ["domain"])
+            return written(changes.select("domain", "change", F.col("old.status").alias("old_status"), F.col("new.status").alias("new_status")))
+
+
+@_register(
+    "bucketed_merge",
+    f"""WITH {ctes('comments')}, first AS (SELECT * FROM comments WHERE id % 3 <> 0), again AS (SELECT external_comment_id, CASE WHEN id % 2 = 0 THEN body || '!' ELSE body END AS body FROM comments WHERE id % 5 <> 4)
+SELECT '1 first' AS run, count(*)::BIGINT AS created, 0::BIGINT AS updated, 0::BIGINT AS unchanged FROM first
+UNION ALL SELECT '2 same', 0, 0, count(*) FROM first
+UNION ALL SELECT '3 later', count(*) FILTER (f.id IS NULL), count(*) FILTER (f.id IS NOT NULL AND f.body IS DISTINCT FROM coalesce(nullif(a.body, ''), f.body)), count(*) FILTER (f.id IS NOT NULL AND f.body IS NOT DISTINCT FROM coalesce(nullif(a.body, ''), f.body))
+FROM again a LEFT JOIN first f ON f.external_comment_id = a.external_comment_id""",
+)
+def bucketed_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows created, updated and unchanged when comments are merged into a bucketed table, the same ones again, and later ones."""
+    comments_ = view(spark, sf, "comments").select("id", "external_comment_id", "body")
+    store = snapshots.SnapshotStore(fresh_folder(spark, "store"))
+    body = F.when(F.col("id") % 2 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    first, later = comments_.where("id % 3 <> 0"), comments_.where("id % 5 <> 4").withColumn("body", body)
+    put = lambda rows: store.merge("comments", rows.select("external_comment_id", "body"), ["external_comment_id"], {"body": merge.prefer_new}, "external_comment_id string, body string", buckets=16)
+    runs = [(name, *put(rows).values()) for name, rows in (("1 first", first), ("2 same", first), ("3 later", later))]
+    return spark.createDataFrame(runs, "run string, created long, updated long, unchanged long")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -30,10 +30,14 @@ def seed_domains(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listed_domains(spark: SparkSession, path: str) -> DataFrame:
-    """``(domain, position)`` of a domains file (SRC-7): each line's first word without scheme and path, normalised."""
-    lines = numbered_lines(spark, path).where("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")
-    word = F.split_part(F.trim(F.regexp_replace("value", r"\s+", " ")), F.lit(" "), F.lit(1))
-    return _first_each(lines.select("position", normalize_domain(F.lower(word)).alias("domain")).where("domain <> ''"), "domain")
+    """``(domain, position)`` of a domains file (SRC-7): each line's first word without schemes and path, in lower case.
+
+    Hosts stay whole, with their port and platform suffix, as the tables that they are looked up in hold them.
+    """
+    lines = numbered_lines(spark, path).select("position", F.regexp_replace("value", r"^\s+", "").alias("value")).where("value <> '' AND NOT startswith(value, '#')")
+    word = F.regexp_extract("value", r"^\S+", 0)
+    host = F.lower(F.split_part(F.replace(F.replace(word, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit("")), F.lit("/"), F.lit(1)))
+    return _first_each(lines.select("position", host.alias("domain")).where("domain <> ''"), "domain")
 
 
 def failed_csv(spark: SparkSession, path: str) -> DataFrame:

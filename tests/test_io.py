@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomwork import cli
 from loomwork.functions import text as fn
 from loomwork.operators import backfill, classify, comments, embeddings
-from loomwork.plans import locks
+from loomwork.plans import locks, schema
 from loomwork.sinks import reports
 from loomwork.sinks.snapshots import SnapshotTable
 from loomwork.sources import files, sqlite
@@ -98,6 +98,12 @@ def test_text_sources(spark, tmp_path):
     assert files.probe_log(spark, str(log)).count() == 0
 
 
+def test_listed_domains_stay_whole(spark, tmp_path):
+    listed = tmp_path / "domains.txt"
+    listed.write_text("# no\nhttps://foo.substack.com/p/x\nBar.org:8080 y\n\n  http://A.net/\nfoo.substack.com\n")
+    assert [r.domain for r in files.listed_domains(spark, str(listed)).orderBy("position").collect()] == ["foo.substack.com", "bar.org:8080", "a.net"]
+
+
 def test_sqlite_source(spark, tmp_path):
     path = str(tmp_path / "x.db")
     with sqlite3.connect(path) as db:
@@ -142,7 +148,21 @@ def test_reports_and_command_line(spark, tmp_path):
     make([("a", "A <b>", None), ("b", None, None)], "domain string, name string, description string").write.parquet(str(tmp_path / "publications.parquet"))
     make([("a", "b"), ("b", "a"), ("c", "a")], "source_domain string, target_domain string").write.parquet(str(tmp_path / "recommendations.parquet"))
     make([("a", "crawled", 0), ("b", "failed", 1), ("c", "pending", 1)], "domain string, status string, depth int").write.parquet(str(tmp_path / "queue.parquet"))
-    out = {c: cli.run(spark, c, str(tmp_path), out=str(tmp_path / f"out-{c}")) for c in cli.COMMANDS}
+    with pytest.raises(cli.Missing, match="no archives.parquet|no posts.parquet, users.parquet, comments.parquet, archives.parquet"):
+        cli.run(spark, "comments", str(tmp_path))
+    with pytest.raises(cli.Missing, match="comment_publication_status.parquet"):
+        cli.run(spark, "backfill", str(tmp_path))
+    make([], schema.EXPECTED["comment_publication_status"]).write.parquet(str(tmp_path / "comment_publication_status.parquet"))
+    for name in ("posts", "users", "comments"):
+        make([], schema.EXPECTED[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    make([], "publication string, payload string").write.parquet(str(tmp_path / "archives.parquet"))
+    make([], "external_post_id string, payload string").write.parquet(str(tmp_path / "threads.parquet"))
+    spark.read.parquet(str(tmp_path / "publications.parquet")).withColumns({"substack_id": F.lit("1"), "first_seen": F.lit("")}).write.parquet(str(tmp_path / "p2.parquet"))
+    spark.read.parquet(str(tmp_path / "p2.parquet")).write.mode("overwrite").parquet(str(tmp_path / "publications.parquet"))
+    folder = f"file://{tmp_path}"  # not a path of the driver's own
+    out = {c: cli.run(spark, c, folder, out=str(tmp_path / f"out-{c}")) for c in cli.COMMANDS}
+    assert "https://a.substack.com/archive" in out["visualize"] and "A \\u003cb>" in out["visualize"] and "selected" in out["backfill"]
+    assert "posts_created=0" in out["comments"]
     assert "queue failed: 1" in out["summarize"] and "(2 rows)" in out["view"] and out["centrality"].split()[:3] == ["1", "A", "<b>"]
     assert "queue_failed_with_publication: 1" in out["audit"] and json.loads(out["repair"])["queue_failed_with_publication"] == 0
     assert json.loads(out["distribution"])["n_publications"] == 2 and "https://b.substack.com" in out["failed"] and "<svg" in out["visualize"]
