@@ -1,17 +1,22 @@
 """Benchmark decontamination by SimHash windows of the items' sizes.
 
 Texts and items become sequences of lower-cased words (runs of letters and digits) and these become
-5-word shingles.  A window of an item's size is compared with the items of that size:
+5-word shingles, compared by 64-bit hashes.  A window of an item's size is compared with the items of that size:
 
 1. SimHash of the window's shingles, weighted by their number, against the items' fingerprints.  The fingerprint has six
    blocks; of two fingerprints within ``RADIUS`` bits one block differs in at most ``NEAR`` bits, so items are indexed under
-   all values that near to each of their blocks, and windows ask for their own blocks.
+   all values that near to each of their blocks, and windows ask for their own blocks.  This meets all fingerprints within the radius.
 2. Exact weighted similarity of the shingles (sum of minima over sum of maxima) of the candidates.
 
-Fingerprints of all windows of all sizes would be some ten thousand for each text.  So windows are laid by a count first: for
-each text and item, how many shingles (with their numbers) a window shares with the item is summed up over all its
-positions at once, wherever in the window they stand, and the best window is laid if the count suffices.  This loses
-no window, moved, swapped and repeated blocks included.
+No radius bounds the similarity: where two shingles stand in nearly equal numbers ("ping pong ping pong ..."), one more or less of
+either tips half of all bits.  Windows that lie farther from the item that they were laid for than the radius are therefore compared
+exactly as well, whatever their fingerprints.
+
+Fingerprints of all windows of all sizes would be some ten thousand for each text.  So windows are laid by a count first.  A window
+alike enough must hold one of the item's rarest shingles (those beyond the overlap that is needed, in the order of how often they
+stand in the texts), which gives the pairs of texts and items to look at.  For each, how many shingles (with their numbers) a window
+shares with the item is summed up over all its positions at once, wherever in the window they stand, and the best window is laid if the
+count suffices.  Common shingles alone make no pair, and no window is lost, moved, swapped and repeated blocks included.
 """
 
 from __future__ import annotations
@@ -26,8 +31,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BITS = 64
 BLOCKS, NEAR = 6, 3
-#: Bits within which fingerprints surely meet.  Of random pairs of windows that are just 0.8 alike (10 to 400 shingles) none in
-#: some 200,000 differed in more; on average they differ in 6 to 10.
+#: Bits within which fingerprints surely meet.  Random windows without repeats that are just 0.8 alike differ in 6 to 10 on average.
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Most rows (of fixed width, at most 40 bytes) of a side that is broadcast; larger sides are joined by shuffling.
 MOST_BROADCAST = 1_000_000
@@ -108,14 +112,31 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return rows.select("item", "item_id", "s", F.size("s").alias("n"))
 
 
+def rarest(spots: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(item, h)``: each item's shingles that stand least often in ``placed``, as many as can't all be missing from a window alike enough.
+
+    Of an item's ``n`` shingles a window shares ``ceil(SIMILARITY * n)`` at least, so it holds one of the first
+    ``n - ceil(SIMILARITY * n) + 1`` in any order.
+    """
+    often = placed.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    ranked = spots.join(often, "h")  # a shingle that stands in no text is missing from all windows; it counts in ``before``
+    missing = spots.join(often, "h", "left_anti").groupBy("item").agg(F.sum("c").alias("missing"))
+    order = Window.partitionBy("item").orderBy("often", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("c").over(order), F.lit(0)) + F.coalesce("missing", F.lit(0))
+    first = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
+    return ranked.join(missing, "item", "left").withColumn("before", before).where(F.col("before") < first).select("item", "h")
+
+
 def best_windows(placed: DataFrame, spots: DataFrame) -> DataFrame:
-    """``(key, n, start)``: for each text and item the first window that shares most with it, if that is enough.
+    """``(key, item, n, start)``: for each text and item the first window that shares most with it, if that is enough.
 
-    ``placed`` has ``(key, size, pos, h)``, the shingles of the texts, and ``spots`` ``(item, n, h, c)``, how often they stand in the
-    items.  An occurrence counts for the windows that begin after the one ``c`` before it; these windows are a range, so
+    ``placed`` has ``(key, size, pos, h)``, the texts' shingles that stand in items, and ``spots`` ``(item, n, h, c)``, how often they stand
+    in the items.  An occurrence counts for the windows that begin after the one ``c`` before it; these windows are a range, so
     the sums over all windows are running sums of the ranges' ends.
     """
-    hits = placed.join(spots, "h").groupBy("key", "item", "h").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first("size").alias("size"), F.first("n").alias("n"), F.first("c").alias("c"))
+    pairs = placed.join(_sized(written(rarest(spots, placed))), "h").select("key", "item").distinct()
+    wanted = pairs.join(_sized(spots), "item")
+    hits = placed.join(wanted, ["key", "h"]).groupBy("key", "item", "h").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first("size").alias("size"), F.first("n").alias("n"), F.first("c").alias("c"))
     # Ranges are made before they are exploded, so that no row carries the array.
     first = lambda pos, i: F.greatest(F.coalesce(F.get("at", i - F.col("c")) + 1, F.lit(0)), pos - F.col("n") + 1)
     each = hits.select("key", "item", "size", "n", F.inline(F.transform("at", lambda pos, i: F.struct(first(pos, i).alias("first"), pos.alias("pos")))))
@@ -126,7 +147,7 @@ def best_windows(placed: DataFrame, spots: DataFrame) -> DataFrame:
     counted = steps.select("key", "item", "size", "n", "start", shared.alias("shared"))
     enough = F.col("shared") * (1 + SIMILARITY) >= (F.col("n") + F.least("n", "size")) * SIMILARITY - 1e-9
     best = F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("b")
-    return counted.where(enough).groupBy("key", "item", "n").agg(best).select("key", "n", (-F.col("b.back")).alias("start")).distinct()
+    return counted.where(enough).groupBy("key", "item", "n").agg(best).select("key", "item", "n", (-F.col("b.back")).alias("start"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,16 +168,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # An outer explode: for an inner one Spark infers a filter and pushes it below the projections, which
     # would compute the shingles twice.  Its row for a text without shingles has a null hash and joins nothing.
     placed = shingled(keyed.select("key", "text"), "text").select("key", F.size("s").alias("size"), F.posexplode_outer("s").alias("pos", "h"))
-    windows = written(best_windows(placed, _sized(spots)))
+    held = written(placed.join(_sized(written(spots.select("h").distinct())), "h", "left_semi"))
+    best = written(best_windows(held, spots))
+    windows = written(best.select("key", "n", "start").distinct())
 
-    hit = keyed.join(_sized(windows), "key").select("doc_id", "text", "n", "start")
-    laid = shingled(hit, "text").select("doc_id", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("s"))
-    laid = laid.select("doc_id", "n", "start", F.xxhash64("doc_id", "start", "s").alias("window"), "s").dropDuplicates(["doc_id", "n", "start", "window"])
+    hit = keyed.join(_sized(windows), "key").select("key", "doc_id", "text", "n", "start")
+    laid = shingled(hit, "text").select("key", "doc_id", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("s"))
+    laid = laid.select("key", "doc_id", "n", "start", F.xxhash64("doc_id", "start", "s").alias("window"), "s").dropDuplicates(["doc_id", "n", "start", "window"])
     prints = cut(with_simhash(laid))
-    index = written(with_simhash(items).select("item", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), F.explode(indexed(F.col("fp"))).alias("near")))
+    marked = written(with_simhash(items).select("item", F.col("n").alias("item_n"), F.col("fp").alias("item_fp")))
+    index = written(marked.select("item", "item_n", "item_fp", F.explode(indexed(F.col("item_fp"))).alias("near")))
     asking = prints.select("window", "n", "fp", F.explode(asked(F.col("fp"))).alias("block"))
-    close = (F.col("n") == F.col("item_n")) & (F.col("block") == F.col("near")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    met = asking.join(_sized(index), close).select("window", "item").distinct()
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    close = (F.col("n") == F.col("item_n")) & (F.col("block") == F.col("near")) & (apart <= RADIUS)
+    within = asking.join(_sized(index), close).select("window", "item")
+    beyond = prints.select("key", "n", "start", "window", "fp").join(best, ["key", "n", "start"]).join(_sized(marked), "item").where(apart > RADIUS).select("window", "item")
+    met = within.union(beyond).distinct()
 
     inside = prints.select("window", "doc_id", "start", F.size("s").alias("size"), "s").join(met, "window")
     counts = inside.select("window", "item", "doc_id", "start", "size", F.explode("s").alias("h")).groupBy("window", "item", "doc_id", "start", "size", "h").agg(F.count(F.lit(1)).alias("k"))

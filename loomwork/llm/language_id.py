@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-Learning counts character 4-grams for every language over a bounded sample of labelled documents and
-puts each language's most frequent ones into one Bloom filter whose cells hold a bit for each language
+Learning gathers the character 4-grams of every language over a bounded sample of labelled documents and
+puts all of them into one Bloom filter, sized by their number, whose cells hold a bit for each language
 (bit-sliced: one probe asks all languages at once).  A prediction looks up every 4-gram of the whole text,
 ANDs the cells of its probes into the set of languages that know it, and counts the set bits for each
 language.  From the counts the hits that false positives alone would give are taken off; the language with
@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomwork.llm.batches import slices
 from loomwork.plans.shipping import ship
@@ -27,8 +26,6 @@ UNKNOWN = "und"
 GRAM = 4
 #: Labelled documents of each language that learning expects to read; all if there are fewer.
 SAMPLE_PER_LANGUAGE = 2000
-#: Most frequent 4-grams of each language that the filter holds.
-GRAMS_PER_LANGUAGE = 20_000
 PROBES = 3
 #: Cells of the filter for each 4-gram of one language.
 CELLS_PER_GRAM = 32
@@ -130,7 +127,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     A language with more than ``sample`` rows takes part with about that many, chosen by a hash of
     their ids; the texts that are used are used whole.  What comes to the driver is the filter's
-    content, at most ``GRAMS_PER_LANGUAGE`` hashes for each language.  Repeated rows count again; rows without an id
+    content, the distinct 4-grams of that sample.  Repeated rows change nothing; rows without an id
     are drawn all or none; without any row the model knows no language.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -141,7 +138,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.where(drawn < F.element_at(share, F.col("lang"))).select("lang", "text")
 
-    def count(batches):
+    def gather(batches):
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for start, part in slices(batch.column(1), TOGETHER):
@@ -149,13 +146,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 of = np.repeat(np.arange(len(part)), sizes)
                 here = np.array(langs[start : start + len(part)])
                 for lang in sorted(set(here.tolist())):
-                    found, n = np.unique(hashes[(here == lang)[of]], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "gram": found.view(np.int64), "n": n.astype(np.int64)})
+                    found = np.unique(hashes[(here == lang)[of]])
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "gram": found.view(np.int64)})
 
     ship(docs.sparkSession)
-    totals = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = totals.withColumn("place", place).where(F.col("place") <= GRAMS_PER_LANGUAGE).select("lang", "gram").toArrow()
+    top = chosen.mapInArrow(gather, "lang string, gram long").distinct().toArrow()
     langs, found = np.array(top.column(0).to_pylist()), top.column(1).to_numpy().view(np.uint64)
     return LanguageModel.build({lang: found[langs == lang] for lang in counts})
 

@@ -11,7 +11,8 @@ that hardly repeat anywhere by their hashes, then frequent ones by how often the
 
 A pair must pass four filters before its sets are compared.  *Length*: the smaller set has at least ``similarity`` times the larger
 one's n-grams.  *Position*: at every shared n-gram, what stands up to it and after it in both orders suffices for the overlap.
-*Count*: all shared n-grams of the prefixes and all that can stand behind them suffice.  *Suffix*: the parities of 512 classes of
+*Count*: all shared n-grams of the prefixes and all that can stand behind them suffice (in step 2, a pair is met where its
+first shared n-gram can stand).  *Suffix*: the parities of 512 classes of
 n-grams, which differ in no more places than the sets have n-grams apart, leave the overlap possible.
 
 No step writes out the pairs within a group of similar sets, and none drops a pair that could be alike, so components are exact up to
@@ -208,12 +209,13 @@ def prefix_index(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("node", "h"), F.lit(parts)).cast("int") + 1).otherwise(0)
     bucket = Window.partitionBy("h", "part")
-    first = F.min(F.struct("pos", "node", "n")).over(bucket)
-    led = rows.withColumn("part", part).select("h", "node", "n", "pos", "part", first.alias("lead"), F.min("node").over(bucket).alias("least"), F.max("node").over(bucket).alias("most"))
-    index = written(led.where("part > 0 OR least <> most").select("h", "node", "n", "pos", "lead", (F.col("part") > 0).alias("hot")), "led")
+    again = F.lag("node").over(bucket.orderBy("node")) == F.col("node")  # a copy from another run of rows
+    rows = rows.withColumn("part", part).select("h", "node", "n", "pos", "part", again.alias("again"), F.min(F.struct("pos", "node", "n")).over(bucket).alias("lead"), F.min("node").over(bucket).alias("least"), F.max("node").over(bucket).alias("most"))
+    kept = rows.where("(part > 0 OR least <> most) AND NOT coalesce(again, false)")
+    index = written(kept.select("h", "node", "n", "pos", "lead", (F.col("part") > 0).alias("hot")), "led")
     tops = written(index.where("hot").groupBy("h").agg(F.min("lead").alias("top"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("h", "top"), "tops")
-    hot = index.where("hot").select("h", "node", "n", "pos").distinct().join(sized(tops), "h").select("h", "node", "n", "pos", F.col("top").alias("lead"))
-    found = written(index.where("NOT hot").drop("hot").distinct().union(hot), "index")
+    hot = index.where("hot").join(sized(tops), "h").select("h", "node", "n", "pos", F.col("top").alias("lead"))
+    found = written(index.where("NOT hot").drop("hot").union(hot), "index")
     discard(index, tops)
     return found
 
@@ -234,10 +236,13 @@ def _positions_fit(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, simil
     return F.least(pos_a, pos_b) + F.least(n_a - pos_a, n_b - pos_b) >= _needed(n_a, n_b, similarity)
 
 
+def _rest(n_a: Column, n_b: Column, similarity: float) -> Column:
+    """The most that two sets can share outside their prefixes: it stands behind the prefix that ends first, in the rest of that set."""
+    return F.least(F.least(n_a, n_b), F.ceil(F.greatest(n_a, n_b) * similarity - 1e-6) - 1)
+
+
 def _counts_fit(shared: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
-    """What stands behind the prefix that ends first is in the rest of that set."""
-    rest = F.least(F.least(n_a, n_b), F.ceil(F.greatest(n_a, n_b) * similarity - 1e-6) - 1)
-    return shared + rest >= _needed(n_a, n_b, similarity)
+    return shared + _rest(n_a, n_b, similarity) >= _needed(n_a, n_b, similarity)
 
 
 def _suffixes_fit(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -291,24 +296,29 @@ def _counted(met: DataFrame, similarity: float) -> DataFrame:
 def left_pairs(index: DataFrame, homes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b, shared)``: pairs of different components that can still be alike.
 
-    The number of a set's prefix n-grams that are found in other components bounds what it can share with any of them.
+    Only a set's prefix n-grams that are found in other components can be shared; ``held`` of them there are, and ``rank`` counts them
+    in the set's order.  A pair must share ``need`` of them, so the first that it shares is among the first ``held - need + 1`` of both
+    sets, and what it shares at all stands there or behind.  Each pair that can be alike is met at its first shared n-gram at least.
     """
-    rows = index.select("h", "node", "n", "pos").join(homes, "node", "left").withColumn("of", F.coalesce("of", "node"))
-    mixed = rows.groupBy("h").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("h")
-    there = written(rows.join(mixed, "h"), "mixed")
-    held = there.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    rows = index.select("h", "node", "n", "pos").join(sized(homes), "node", "left").withColumn("of", F.coalesce("of", "node"))
+    mixed = written(rows.groupBy("h").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("h"), "mixed")
+    there = written(rows.join(sized(mixed), "h"), "there")
     shares = there.groupBy("h", "of").agg(F.count(F.lit(1)).alias("share"))
-    main = shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main"))
-    before, there = there, written(there.join(held, "node").join(main, "h").select("h", "node", "n", "pos", "of", "held", (F.col("of") == F.col("main")).alias("in_main")), "open")
-    discard(before)
-    x = there.where("NOT in_main").select("h", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "of", "held")])
-    y = there.select(F.col("h").alias("h_y"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "of", "held")], "in_main")
+    main = written(shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main")), "main")
+    own = Window.partitionBy("node")
+    ranked = there.select("*", F.row_number().over(own.orderBy("pos")).alias("rank"), F.count(F.lit(1)).over(own).alias("held"))
+    before, there = there, written(ranked.join(sized(main), "h").select("h", "node", "n", "pos", "of", "rank", "held", (F.col("of") == F.col("main")).alias("in_main")), "open")
+    discard(before, mixed, main)
+    columns = ("node", "n", "pos", "of", "rank", "held")
+    x = there.where("NOT in_main").select("h", *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = there.select(F.col("h").alias("h_y"), *[F.col(c).alias(f"{c}_y") for c in columns], "in_main")
     n_x, n_y = F.col("n_x"), F.col("n_y")
-    fits = _lengths_fit(n_x, n_y, similarity) & _positions_fit(n_x, F.col("pos_x"), n_y, F.col("pos_y"), similarity) & _counts_fit(F.least("held_x", "held_y"), n_x, n_y, similarity)
-    met = x.join(y, (F.col("h") == F.col("h_y")) & (F.col("of_x") != F.col("of_y")) & (F.col("in_main") | (F.col("node_x") < F.col("node_y"))) & fits)
-    first = F.col("node_x") < F.col("node_y")
-    pair = [F.least("node_x", "node_y").alias("a"), F.when(first, n_x).otherwise(n_y).alias("n_a"), F.greatest("node_x", "node_y").alias("b"), F.when(first, n_y).otherwise(n_x).alias("n_b")]
-    return _counted(met.select(*pair, (F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) - 1).alias("behind")), similarity)
+    needed = _needed(n_x, n_y, similarity)
+    need = F.greatest(F.lit(1), needed - _rest(n_x, n_y, similarity))
+    early = (F.col("rank_x") <= F.col("held_x") - need + 1) & (F.col("rank_y") <= F.col("held_y") - need + 1)
+    enough = F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) >= needed
+    met = x.join(y, (F.col("h") == F.col("h_y")) & (F.col("of_x") != F.col("of_y")) & (F.col("in_main") | (F.col("node_x") < F.col("node_y"))) & _lengths_fit(n_x, n_y, similarity) & early & enough)
+    return met.groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def alike(pairs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -85,6 +85,30 @@ def test_moved_swapped_and_repeated_blocks(spark):
     assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
+def test_balanced_repeats_and_permutations(spark):
+    """Alternations tip half of all bits with one shingle; phrases in other orders and numbers; short items of few kinds of words."""
+    rng = random.Random(31)
+    items, docs = [], []
+    for j, (x, y) in enumerate((("ping", "pong"), ("yes", "no"), ("left", "right"), ("tick", "tock"), ("on", "off"), ("in", "out"))):
+        items.append((j, " ".join([x, y] * 7 + [x])))
+        docs.append(" ".join([y, x] * 7 + [y]))
+        docs.append(" ".join(["so"] * 3 + [y, x] * 9 + ["then"] * 4))
+    phrases = [[f"p{k}", f"q{k}", f"r{k}", "and"] for k in range(4)]
+    for j in range(10, 30):
+        kinds = rng.sample(phrases, rng.choice([2, 2, 3]))
+        words_of = lambda n: [w for _ in range(n) for w in rng.choice(kinds)]  # noqa: B023, E731
+        items.append((j, " ".join(words_of(rng.randrange(3, 12)))))
+        docs += [" ".join(words_of(rng.randrange(3, 14))) for _ in range(5)]
+        w = items[-1][1].split()
+        docs.append(" ".join(w[4:] + w[:4]))
+    docs += [" ".join(rng.choice("ab") for _ in range(rng.randrange(5, 60))) for _ in range(60)]
+    items += [(k, " ".join(rng.choice("ab") for _ in range(rng.randrange(6, 16)))) for k in range(40, 60)]
+    docs = list(enumerate(docs))
+    want, got = brute(docs, items), found(spark, docs, items)
+    assert all((2 * j, j) in want for j in range(6)) and len(want) > 100
+    assert want.keys() == got.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_long_items_and_long_repeats(spark):
     rng = random.Random(22)
     long = [f"w{rng.randrange(50000)}" for _ in range(40000)]
