@@ -1,14 +1,12 @@
-"""Incremental embedding by content hash, and neighbours by cosine."""
+"""Incremental embedding by content hash."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomwork.functions.text import collapsed, content_hash, source_text
 from loomwork.plans.shipping import ship
@@ -60,30 +58,3 @@ def run_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``(processed, embedded, skipped)`` (AGG-18)."""
     a, b = rows.agg(F.count(F.lit(1)).alias("processed")), found.agg(F.count(F.lit(1)).alias("embedded"))
     return a.join(F.broadcast(b), F.lit(True)).select("processed", "embedded", (F.col("processed") - F.col("embedded")).alias("skipped"))
-
-
-#: Query vectors that are broadcast together.
-MOST_QUERIES = 20_000
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``(query_id, vec_id, rank, cosine)``: the ``k`` most alike vectors of each query (GR-15).
-
-    Both sides have ``(vec_id, embedding)``.  The queries are the stated, bounded side: they travel to the vectors,
-    the best ``k`` for each query are found in 64 parts first and only those are ranked together.  More queries than
-    ``MOST_QUERIES`` are dealt into blocks, which are searched one after the other.
-    """
-    blocks = max(1, -(-queries.count() // MOST_QUERIES))
-    parts = [queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
-    return reduce(DataFrame.union, [_nearest(vectors, part, k) for part in parts])
-
-
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    unit = lambda df: df.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).select("vec_id", "e", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).where("norm > 0")
-    q = unit(queries).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    dot = F.aggregate(F.zip_with("e", "qe", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = unit(vectors).join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("qn")), 6).alias("cosine"))
-    local = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("cosine"), "vec_id"))
-    best = pairs.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("n", local).where(F.col("n") <= k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "cosine")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as fn
-from loomwork.operators import audit, backfill, classify, comments, constraints, embeddings, graph, layers, merge, repair, stats
+from loomwork.operators import audit, backfill, classify, comments, constraints, embeddings, graph, layers, merge, neighbours, repair, stats
 from loomwork.plans.lineage import cut, fresh_folder, written
 from loomwork.plans.views import ctes, view
 from loomwork.sinks import snapshots
@@ -582,7 +582,7 @@ SELECT query_id, vec_id, k::INT AS rank, cosine FROM (SELECT *, row_number() OVE
 )
 def embedding_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    return embeddings.nearest(v, v.where("vec_id % 50 = 0"))
+    return neighbours.nearest(v, v.where("vec_id % 50 = 0"))
 
 
 STATUS = "SELECT domain, CASE WHEN depth % 4 = 0 THEN 'succeeded' WHEN depth % 4 = 1 THEN 'pending' WHEN depth % 4 = 2 THEN 'failed' ELSE 'running' END AS status, depth % 5 AS attempts, CAST(NULL AS VARCHAR(30)) AS last_error, '2026-01-01' AS updated_at FROM queue"

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from loomwork.operators import comments, embeddings, graph
+from loomwork.operators import comments, graph
 from loomwork.sinks import reports
 
 
@@ -29,14 +29,6 @@ def test_deep_threads(spark):
     assert found == {f"c{k}": k for k in range(106)}
 
 
-def test_blocks_of_queries_are_one_search(spark, monkeypatch):
-    rows = [(k, [float((k * 7) % 11), float((k * 5) % 13), 1.0]) for k in range(60)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = sorted(embeddings.nearest(vectors, vectors, 3).collect())
-    monkeypatch.setattr(embeddings, "MOST_QUERIES", 25)
-    assert sorted(embeddings.nearest(vectors, vectors, 3).collect()) == whole
-
-
 def test_reports_are_whole(spark):
     assert reports.html_table(spark.range(1500)).count("<tr>") == 1501
     nodes = spark.createDataFrame([("a", "A", 1.0, "u"), ("b", "B", 1.0, "u")], "node string, label string, size double, url string")
