@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -419,6 +420,28 @@ def audit_all(spark: SparkSession, sf: str) -> DataFrame:
     return audit.audit(spark, _tables(spark, sf))
 
 
+#: What is wrong in each table: repeated rows, blank, unknown and undated values, keys of nothing.
+DAMAGED = {
+    "publications": "SELECT * FROM publications UNION ALL SELECT id, substack_id, name, CASE WHEN id % 2 = 0 THEN domain WHEN id % 4 = 1 THEN ' ' END, description, first_seen FROM publications WHERE id % 9 = 1",
+    "recommendations": "SELECT * FROM recommendations UNION ALL SELECT source_domain, target_domain FROM recommendations WHERE target_domain LIKE '%7' UNION ALL SELECT CAST(NULL AS VARCHAR(9)), target_domain FROM recommendations WHERE target_domain LIKE '%91'",
+    "queue": "SELECT * FROM queue UNION ALL SELECT CASE WHEN depth % 3 = 0 THEN domain ELSE '' END, CASE WHEN depth % 2 = 0 THEN 'odd' END, depth FROM queue WHERE depth > 2",
+    "posts": "SELECT * FROM posts UNION ALL SELECT * FROM posts WHERE id % 6 = 0",
+    "comments": "SELECT * FROM comments WHERE id % 700 <> 1 UNION ALL SELECT id, external_comment_id, -post_id - 1, -user_id - 1, -id, parent_external_comment_id, body, role, commented_at, '2026', last_seen FROM comments WHERE id % 8 = 3",
+    "users": "SELECT * FROM users UNION ALL SELECT id, external_user_id, name, handle, profile_url, first_seen, '' FROM users WHERE id % 5 = 2",
+}
+
+
+@_register(
+    "audit_of_damaged",
+    f"WITH {ALL_TABLES}, " + ", ".join(f"{t}_d AS ({sql})" for t, sql in DAMAGED.items()) + " "
+    + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", ({re.sub('(?<![.])\\b(' + '|'.join(_TABLES) + ')\\b', lambda m: m[1] + '_d', q)})::BIGINT AS count" for n, q in AUDIT_SQL.items()),
+)
+def audit_of_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks over tables in which each of them finds something."""
+    tables = {t: spark.sql(re.sub(rf"FROM {t}\b", f"FROM {{{t}}}", sql), **{t: view(spark, sf, t)}) for t, sql in DAMAGED.items()}
+    return audit.audit(spark, tables).select("check", "count")
+
+
 def _one_check(check: audit.Check) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return audit.audit(spark, {t: view(spark, sf, t) for t in check.needs}, (check,)).select("check", "count")
