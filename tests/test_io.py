@@ -116,6 +116,25 @@ def test_sqlite_source(spark, tmp_path):
     assert sqlite.read_table(spark, path, "empty_one").count() == 0
 
 
+def test_sqlite_affinities_and_filters(spark, tmp_path):
+    path = str(tmp_path / "y.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a INT, b BIGINT, c VARCHAR(9), d DOUBLE PRECISION, e)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", [(k, k * 10, f"c{k}", k / 2, k) for k in range(40)] + [("odd", None, b"raw", "x", 1.5)])
+        db.execute("CREATE TABLE w (k TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID")
+        db.executemany("INSERT INTO w VALUES (?, ?)", [(f"k{k}", k) for k in range(9)])
+    df = sqlite.read_table(spark, path, "t", 3)
+    assert [t for _, t in df.dtypes] == ["bigint", "bigint", "string", "double", "string"]
+    assert [tuple(r) for r in df.where("c = 'raw'").collect()] == [(None, None, "raw", None, "1.5")] and df.count() == 41
+    assert sqlite.read_table(spark, path, "w").agg(F.sum("n")).first()[0] == 36
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        few = sqlite.read_table(spark, path, "t", 3).where("a >= 35 AND b < 380 AND d > 17.5")
+        assert sorted(r.a for r in few.collect()) == [36, 37]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_streaming_is_idempotent(spark, tmp_path):
     landing, table = tmp_path / "landing", SnapshotTable(str(tmp_path / "comments"))
     landing.mkdir()
