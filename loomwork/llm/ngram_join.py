@@ -265,7 +265,7 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def _nodes_of(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -293,12 +293,13 @@ def _counted(met: DataFrame, similarity: float) -> DataFrame:
     return counted.where(fits).select("a", "b", "shared")
 
 
-def left_pairs(index: DataFrame, homes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def left_pairs(index: DataFrame, homes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b, shared)``: pairs of different components that can still be alike.
 
     Only a set's prefix n-grams that are found in other components can be shared; ``held`` of them there are, and ``rank`` counts them
     in the set's order.  A pair must share ``need`` of them, so the first that it shares is among the first ``held - need + 1`` of both
     sets, and what it shares at all stands there or behind.  Each pair that can be alike is met at its first shared n-gram at least.
+    Half of the parities, folded, travel with the rows, so what they rule out is never made.
     """
     rows = index.select("h", "node", "n", "pos").join(sized(homes), "node", "left").withColumn("of", F.coalesce("of", "node"))
     mixed = written(rows.groupBy("h").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("h"), "mixed")
@@ -307,9 +308,12 @@ def left_pairs(index: DataFrame, homes: DataFrame, similarity: float = SIMILARIT
     main = written(shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main")), "main")
     own = Window.partitionBy("node")
     ranked = there.select("*", F.row_number().over(own.orderBy("pos")).alias("rank"), F.count(F.lit(1)).over(own).alias("held"))
-    before, there = there, written(ranked.join(sized(main), "h").select("h", "node", "n", "pos", "of", "rank", "held", (F.col("of") == F.col("main")).alias("in_main")), "open")
-    discard(before, mixed, main)
-    columns = ("node", "n", "pos", "of", "rank", "held")
+    half = PARITIES // 2
+    folded = [F.first(F.col(f"x_{k}").bitwiseXOR(F.col(f"x_{k + half}"))).alias(f"p_{k}") for k in range(half)]
+    marks = written(sets.where("node IS NOT NULL").groupBy("node").agg(*folded), "marks")
+    columns = ("node", "n", "pos", "of", "rank", "held", *[f"p_{k}" for k in range(half)])
+    before, there = there, written(ranked.join(sized(main), "h").join(sized(marks), "node").select("h", *columns, (F.col("of") == F.col("main")).alias("in_main")), "open")
+    discard(before, mixed, main, marks)
     x = there.where("NOT in_main").select("h", *[F.col(c).alias(f"{c}_x") for c in columns])
     y = there.select(F.col("h").alias("h_y"), *[F.col(c).alias(f"{c}_y") for c in columns], "in_main")
     n_x, n_y = F.col("n_x"), F.col("n_y")
@@ -317,6 +321,8 @@ def left_pairs(index: DataFrame, homes: DataFrame, similarity: float = SIMILARIT
     need = F.greatest(F.lit(1), needed - _rest(n_x, n_y, similarity))
     early = (F.col("rank_x") <= F.col("held_x") - need + 1) & (F.col("rank_y") <= F.col("held_y") - need + 1)
     enough = F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) >= needed
+    apart = sum(F.bit_count(F.col(f"p_{k}_x").bitwiseXOR(F.col(f"p_{k}_y"))) for k in range(half))
+    enough = enough & (apart <= n_x + n_y - 2 * needed)
     met = x.join(y, (F.col("h") == F.col("h_y")) & (F.col("of_x") != F.col("of_y")) & (F.col("in_main") | (F.col("node_x") < F.col("node_y"))) & _lengths_fit(n_x, n_y, similarity) & early & enough)
     return met.groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
@@ -387,7 +393,7 @@ def linked(sets: DataFrame, similarity: float = SIMILARITY, homes: DataFrame | N
         homes = written(sets.select("node", F.col("node").alias("of")).where("false"), "homes")
     star = written(star_pairs(index, similarity), "star")
     homes = linked_over(star, homes, sets, similarity)
-    left = written(left_pairs(index, homes, similarity), "left")
+    left = written(left_pairs(index, homes, sets, similarity), "left")
     discard(star, index)
     homes = linked_over(left, homes, sets, similarity)
     discard(left)
