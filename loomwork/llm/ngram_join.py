@@ -21,7 +21,7 @@ clashes of 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +92,11 @@ def parities(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: tuple[str, ...] = (), more: Callable[[list[bytes]], dict[str, pa.Array]] | None = None, more_schema: str = "") -> DataFrame:
-    """``(doc_id, *keep, node, n, s, x_0 .., *more)`` of every row, written to the shared folder.
+def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, node, n, s, x_0 ..)`` of every row, written to the shared folder.
 
     ``node`` is the set's hash (null for an empty set), ``n`` its size, ``s`` its sorted hashes and ``x_k`` its parities.  Of copies that one
-    run of rows holds, only the first carries ``s``.  ``keep`` names further columns that stay; ``more`` makes columns of its own from
-    the texts, which ``more_schema`` names.
+    run of rows holds, only the first carries ``s``.  ``keep`` names further columns that stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +113,13 @@ def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in held])]).astype(np.int32)
                 columns = [pa.array(signed, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))]
                 rest = [c.slice(start, len(part)) for c in batch.columns[1:]]
-                made = more(texts) if more else {}
-                yield pa.RecordBatch.from_arrays([*rest, *columns, *[pa.array(odd[:, k]) for k in range(PARITIES)], *made.values()], names=[*names, "node", "n", "s", *[f"x_{k}" for k in range(PARITIES)], *made])
+                yield pa.RecordBatch.from_arrays([*rest, *columns, *[pa.array(odd[:, k]) for k in range(PARITIES)]], names=[*names, "node", "n", "s", *[f"x_{k}" for k in range(PARITIES)]])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
     names = rows.columns[1:]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    schema = [kinds, "node long, n int, s array<long>", *[f"x_{k} long" for k in range(PARITIES)], *([more_schema] if more else [])]
+    schema = [kinds, "node long, n int, s array<long>", *[f"x_{k} long" for k in range(PARITIES)]]
     return written(rows.mapInArrow(run, ", ".join(schema)), "sets")
 
 
@@ -383,14 +381,10 @@ def linked_over(pairs: DataFrame, homes: DataFrame, sets: DataFrame, similarity:
     return homes
 
 
-def linked(sets: DataFrame, similarity: float = SIMILARITY, homes: DataFrame | None = None) -> DataFrame:
-    """``(node, of)``: the component of every node that has a candidate; ``of`` is its smallest node.
-
-    ``homes``, a table of ``written``, may hold components that are known already.
-    """
+def linked(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, of)``: the component of every node that has a candidate; ``of`` is its smallest node."""
     index = prefix_index(sets, similarity)
-    if homes is None:
-        homes = written(sets.select("node", F.col("node").alias("of")).where("false"), "homes")
+    homes = written(sets.select("node", F.col("node").alias("of")).where("false"), "homes")
     star = written(star_pairs(index, similarity), "star")
     homes = linked_over(star, homes, sets, similarity)
     left = written(left_pairs(index, homes, sets, similarity), "left")
