@@ -43,8 +43,10 @@ PARITIES = 8
 COUNT_RUN, FREQUENT = 1 << 21, 4
 #: Most frequent n-grams whose order travels to the workers; where there are more, the less frequent ones count as rare.
 MOST_FREQUENT = 1_000_000
-#: Rows of numbers (at most 40 bytes each), and bytes of sets, that are broadcast; more are joined by shuffling.
-MOST_ROWS, MOST_SET_BYTES = 1_000_000, 32 << 20
+#: Rows of numbers (at most 40 bytes each), and bytes of sets, that are broadcast, which the driver builds; more are joined by shuffling.
+MOST_ROWS, MOST_SET_BYTES = 100_000, 16 << 20
+#: Times as many nodes are broadcast to whole sets, which are large to shuffle.
+WHOLE_SETS = 10
 #: Rounds in which each component tries its likeliest pair before all open ones are tried.
 ROUNDS = 2
 #: Words whose hashes a worker keeps; beyond it the memory starts afresh, which costs time only.
@@ -206,9 +208,13 @@ def prefix_index(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = prefixes(sets, frequent_ngrams(sets), similarity)
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("node", "h"), F.lit(parts)).cast("int") + 1).otherwise(0)
+    # Dealt before leads are made of the columns, so that each row travels once; place and size in one long.
+    packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("packed")
+    dealt = rows.select("h", "node", packed, part.alias("part")).repartition("h", "part")
+    rows = dealt.select("h", "node", "part", F.shiftright("packed", 32).cast("int").alias("pos"), F.col("packed").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("n"))
     bucket = Window.partitionBy("h", "part")
     again = F.lag("node").over(bucket.orderBy("node")) == F.col("node")  # a copy from another run of rows
-    rows = rows.withColumn("part", part).select("h", "node", "n", "pos", "part", again.alias("again"), F.min(F.struct("pos", "node", "n")).over(bucket).alias("lead"), F.min("node").over(bucket).alias("least"), F.max("node").over(bucket).alias("most"))
+    rows = rows.select("h", "node", "n", "pos", "part", again.alias("again"), F.min(F.struct("pos", "node", "n")).over(bucket).alias("lead"), F.min("node").over(bucket).alias("least"), F.max("node").over(bucket).alias("most"))
     kept = rows.where("(part > 0 OR least <> most) AND NOT coalesce(again, false)")
     index = written(kept.select("h", "node", "n", "pos", "lead", (F.col("part") > 0).alias("hot")), "led")
     tops = written(index.where("hot").groupBy("h").agg(F.min("lead").alias("top"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("h", "top"), "tops")
@@ -257,9 +263,9 @@ def _suffixes_fit(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Data
 # Joining -----------------------------------------------------------------------------------------
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, which is in files, as a side of a join: broadcast up to ``MOST_ROWS``, else shuffled."""
-    return F.broadcast(df) if df.count() <= MOST_ROWS else df
+def sized(df: DataFrame, times: int = 1) -> DataFrame:
+    """``df``, which is in files, as a side of a join: broadcast up to ``times * MOST_ROWS``, else shuffled."""
+    return F.broadcast(df) if df.count() <= times * MOST_ROWS else df
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -269,7 +275,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _nodes_of(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """``(node, *columns)`` of the ends of ``pairs``, each once; copies are combined before they are dealt."""
     ends = written(_ends(pairs), "ends")
-    return written(sets.where(F.size("s") > 0).join(sized(ends), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "nodes")
+    return written(sets.where(F.size("s") > 0).join(sized(ends, WHOLE_SETS), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "nodes")
 
 
 def star_pairs(index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -300,18 +306,17 @@ def left_pairs(index: DataFrame, homes: DataFrame, sets: DataFrame, similarity:
     Half of the parities, folded, travel with the rows, so what they rule out is never made.
     """
     rows = index.select("h", "node", "n", "pos").join(sized(homes), "node", "left").withColumn("of", F.coalesce("of", "node"))
-    mixed = written(rows.groupBy("h").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("h"), "mixed")
-    there = written(rows.join(sized(mixed), "h"), "there")
-    shares = there.groupBy("h", "of").agg(F.count(F.lit(1)).alias("share"))
-    main = written(shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main")), "main")
+    shares = rows.groupBy("h", "of").agg(F.count(F.lit(1)).alias("share"))
+    mains = shares.groupBy("h").agg(F.max_by("of", F.struct("share", "of")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+    mixed = written(mains.where("kinds > 1").select("h", "main"), "mixed")
     own = Window.partitionBy("node")
-    ranked = there.select("*", F.row_number().over(own.orderBy("pos")).alias("rank"), F.count(F.lit(1)).over(own).alias("held"))
+    ranked = rows.join(sized(mixed), "h").select("*", F.row_number().over(own.orderBy("pos")).alias("rank"), F.count(F.lit(1)).over(own).alias("held"))
     half = PARITIES // 2
     folded = [F.first(F.col(f"x_{k}").bitwiseXOR(F.col(f"x_{k + half}"))).alias(f"p_{k}") for k in range(half)]
     marks = written(sets.where("node IS NOT NULL").groupBy("node").agg(*folded), "marks")
     columns = ("node", "n", "pos", "of", "rank", "held", *[f"p_{k}" for k in range(half)])
-    before, there = there, written(ranked.join(sized(main), "h").join(sized(marks), "node").select("h", *columns, (F.col("of") == F.col("main")).alias("in_main")), "open")
-    discard(before, mixed, main, marks)
+    there = written(ranked.join(sized(marks), "node").select("h", *columns, (F.col("of") == F.col("main")).alias("in_main")), "open")
+    discard(mixed, marks)
     x = there.where("NOT in_main").select("h", *[F.col(c).alias(f"{c}_x") for c in columns])
     y = there.select(F.col("h").alias("h_y"), *[F.col(c).alias(f"{c}_y") for c in columns], "in_main")
     n_x, n_y = F.col("n_x"), F.col("n_y")

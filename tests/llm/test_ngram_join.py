@@ -150,3 +150,8 @@ def test_odd_rows(spark, odd, none_at_all):
 def test_query_by_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()]
     assert got(queries.op12_ngram_jaccard(spark, sf)) == brute(rows)
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark):
+    hinted = lambda n: "broadcast" in ngram_join.sized(spark.range(n))._jdf.queryExecution().logical().toString()
+    assert hinted(1000) and not hinted(ngram_join.MOST_ROWS + 1) and not hinted(150_000)
