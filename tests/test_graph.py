@@ -95,3 +95,11 @@ def test_power_law_and_its_guards(spark):
     flat = stats.power_law(spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.5)], "rank long, domain string, pagerank double")).first()
     assert (flat.alpha, flat.r_squared) == (0.0, 0.0)
     assert tuple(stats.power_law(spark.createDataFrame([(1, "a", 0.5)], "rank long, domain string, pagerank double")).first()) == (1, 0.0, 0.0, 0.0)
+
+
+def test_a_round_of_components_is_one_query(spark, monkeypatch):
+    """What has changed is counted while it is written."""
+    monkeypatch.setattr(type(spark.range(0)), "isEmpty", lambda df: pytest.fail("a query of its own"))
+    edges = spark.range(40).selectExpr("id AS src", "id + 1 AS dst")
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(k, 0) for k in range(41)}
+    assert connected_components(edges.where("src < 0")).collect() == []
