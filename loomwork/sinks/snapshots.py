@@ -34,8 +34,8 @@ from loomwork.plans.lineage import discard, written
 
 #: Column that holds a row's bucket in the files.
 BUCKET = "loomwork_bucket"
-#: Incoming rows that are broadcast to the buckets they change; more are joined by shuffling.
-MOST_INCOMING = 500_000
+#: Bytes of incoming rows that are broadcast to the buckets they change, which the driver builds; more are joined by shuffling.
+MOST_INCOMING = 4 << 20
 
 Check = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
@@ -326,24 +326,29 @@ def bucket_of(keys: list[str], n: int) -> Column:
 
 
 def changed_rows(current: DataFrame, incoming: DataFrame, keys: list[str], rules: dict[str, Rule], ignore_changes: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of ``current`` after ``incoming``, with ``action``; the larger side's rows stay where they are read.
+    """The rows of ``current`` after ``incoming``, with ``action``.
 
-    Rows of ``current`` meet the incoming row of their key in a join that keeps them all; incoming rows whose key is not there
-    follow.  Null keys match nothing.
+    A batch of up to ``MOST_INCOMING`` bytes is broadcast, and the rows of ``current`` stay where they are read: they meet the incoming
+    row of their key in a join that keeps them all, and incoming rows whose key is not there follow.  A larger batch meets them in one
+    full join, each side shuffled once.  Null keys match nothing.
     """
     columns = [c for c in current.columns if c != BUCKET]
     types = dict(current.dtypes)
     given = incoming.select(BUCKET, *[(F.col(c) if c in incoming.columns else F.lit(None)).cast(types[c]).alias(c) for c in columns])
-    few = given.count() <= MOST_INCOMING
-    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    weight = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in columns])
+    few = (given.agg(F.sum(weight)).first()[0] or 0) <= MOST_INCOMING
     old = current.select(F.struct(*columns).alias("old"), BUCKET, *[F.col(k).alias(f"_{k}") for k in keys])
-    new = given.select(F.struct(*columns).alias("new"), *[F.col(k).alias(f"_{k}") for k in keys])
-    met = old.join(near(new), [f"_{k}" for k in keys], "left")
+    new = given.select(F.struct(*columns).alias("new"), F.col(BUCKET).alias("_bucket"), *[F.col(k).alias(f"_{k}") for k in keys])
+    on = [f"_{k}" for k in keys]
     values, action = merged_row(columns, types, keys, rules, ignore_changes)
+    if not few:
+        both = old.join(new, on, "full_outer")
+        return both.select(*values, action.alias("action"), F.coalesce(BUCKET, "_bucket").alias(BUCKET))
+    met = old.join(F.broadcast(new.drop("_bucket")), on, "left")
     kept = met.select(*values, action.alias("action"), BUCKET)
-    there = current.select(*keys).join(near(given.select(*keys)), keys, "left_semi")
+    there = current.select(*keys).join(F.broadcast(given.select(*keys)), keys, "left_semi")
     there = written(there.distinct(), "there")
-    fresh = given.join(F.broadcast(there) if few else there, keys, "left_anti").select(*columns, F.lit("created").alias("action"), BUCKET)
+    fresh = given.join(F.broadcast(there), keys, "left_anti").select(*columns, F.lit("created").alias("action"), BUCKET)
     return kept.unionByName(fresh)
 
 

@@ -183,3 +183,16 @@ def test_changes_between_versions(spark):
     before, after = rows(spark, (1, "a"), (2, "b"), (3, None)), rows(spark, (2, "b"), (3, "c"), (4, None))
     found = {(r.k, r.change) for r in snapshots.changes_between(before, after, ["k"]).collect()}
     assert found == {(1, "removed"), (3, "changed"), (4, "added")}
+
+
+def test_a_heavy_batch_is_not_broadcast(spark, tmp_path):
+    """Few rows of much text go by their bytes, and meet the table as a light batch does."""
+    given = [(1, "old"), (2, "b"), (None, "c")]
+    rows(spark, *given).write.parquet(str(tmp_path / "now"))
+    current = spark.read.parquet(str(tmp_path / "now")).withColumn(snapshots.BUCKET, snapshots.bucket_of(["k"], 4))
+    heavy = rows(spark, (1, "x" * (6 << 20)), (9, "y"), (None, "z")).withColumn(snapshots.BUCKET, snapshots.bucket_of(["k"], 4))
+    changed = snapshots.changed_rows(current, heavy, ["k"], {"v": merge.prefer_new})
+    assert "FullOuter" in changed._jdf.queryExecution().executedPlan().toString()
+    found = {(r.k, len(r.v), r.action, r[snapshots.BUCKET]) for r in changed.collect()}
+    bucket = {r.k: r[snapshots.BUCKET] for r in current.union(heavy).collect()}
+    assert found == {(1, 6 << 20, "updated", bucket[1]), (2, 1, None, bucket[2]), (None, 1, None, bucket[None]), (9, 1, "created", bucket[9]), (None, 1, "created", bucket[None])}
