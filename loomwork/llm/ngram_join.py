@@ -22,6 +22,7 @@ clashes of 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.llm.batches import slices
+from loomwork.llm.batches import slices, small_batches
 from loomwork.operators.components import connected_components
 from loomwork.plans.lineage import cut, discard, written
 from loomwork.plans.shipping import ship
@@ -44,15 +45,15 @@ COUNT_RUN, FREQUENT = 1 << 21, 4
 #: Most frequent n-grams whose order travels to the workers; where there are more, the less frequent ones count as rare.
 MOST_FREQUENT = 1_000_000
 #: Rows of numbers (at most 40 bytes each), and bytes of sets, that are broadcast, which the driver builds; more are joined by shuffling.
-MOST_ROWS, MOST_SET_BYTES = 100_000, 16 << 20
+MOST_ROWS, MOST_SET_BYTES = 100_000, 1 << 20
 #: Times as many nodes are broadcast to whole sets, which are large to shuffle.
 WHOLE_SETS = 10
 #: Rounds in which each component tries its likeliest pair before all open ones are tried.
 ROUNDS = 2
 #: Words whose hashes a worker keeps; beyond it the memory starts afresh, which costs time only.
 REMEMBERED = 1 << 18
-#: Hashes of sets that one run of arrays holds at most, unless a single set is larger.
-RUN_HASHES = 1 << 18
+#: Bytes of text whose n-grams are made at once, unless a single text is longer.
+RUN_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -94,38 +95,97 @@ def parities(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, *keep, node, n, s, x_0 ..)`` of every row, written to the shared folder.
+def parities_of(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``parities`` of sets that stand one behind the other in ``values``, a row each; ``n`` are their sizes."""
+    stops = np.cumsum(n)
+    return np.array([parities(values[b - k : b]) for b, k in zip(stops.tolist(), n.tolist(), strict=True)]).reshape(len(n), PARITIES)
 
-    ``node`` is the set's hash (null for an empty set), ``n`` its size, ``s`` its sorted hashes and ``x_k`` its parities.  Of copies that one
-    run of rows holds, only the first carries ``s``.  ``keep`` names further columns that stay.
+
+def sets_of(texts: list[bytes], hashes: WordHashes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """``ngram_set`` of each text, one behind the other, and their sizes; all texts are hashed at once."""
+    tokens = [t.lower().split() for t in texts]
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    each = np.fromiter(map(hashes.__getitem__, chain.from_iterable(tokens)), np.uint64, length.sum())
+    rolled = np.full(max(len(each) - words + 1, 0), words, np.uint64)
+    for k in range(words):
+        rolled ^= each[k : k + len(rolled)]
+        rolled *= _M1
+        rolled ^= rolled >> np.uint64(32)
+    rolled *= _M2
+    rolled ^= rolled >> np.uint64(29)
+    # Only windows within one text; a text of fewer words has one n-gram.
+    count = np.where(length < words, np.minimum(length, 1), length - words + 1)
+    opens = np.cumsum(count) - count
+    at = np.arange(count.sum()) + np.repeat(np.cumsum(length) - length - opens, count)
+    values = rolled.view(np.int64)[np.minimum(at, len(rolled) - 1)] if len(rolled) else np.zeros(len(at), np.int64)
+    for k in np.flatnonzero((length > 0) & (length < words)):
+        values[opens[k]] = ngram_set(texts[k], hashes, words)[0]
+    for start, stop in zip(opens.tolist(), (opens + count).tolist(), strict=True):
+        values[start:stop].sort()
+    fresh = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+    fresh[opens[count > 0]] = True
+    return values[fresh], np.bincount(np.repeat(np.arange(len(count)), count)[fresh], minlength=len(count))
+
+
+def _distinct(part: pa.Array) -> tuple[list[bytes], list[int]]:
+    """The different texts of ``part`` (null: empty), and the place of each row's text among them."""
+    place: dict[bytes, int] = {}
+    of = [place.setdefault(t or b"", len(place)) for t in part.cast(pa.binary()).to_pylist()]
+    return list(place), of
+
+
+def texts_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(_text, key)``: texts, and the hash by which those of few sets are found again."""
+    text = F.col(text_col).cast("string")
+    return docs.select(text.alias("_text"), F.xxhash64(text).alias("key"))
+
+
+def ngram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: tuple[str, ...] = (), similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, *keep, key, node, n, rare, head, x_0 ..)`` of every row, written to the shared folder.
+
+    ``node`` is the set's hash (null for an empty set), ``n`` its size, ``rare`` how many of its n-grams are no frequent ones, ``head`` the
+    hashes of its prefix in order and ``x_k`` its parities.  Of copies that one run of rows holds, only the first carries ``head``.  Whole
+    sets are not kept: those that are compared are made again of their texts, which ``key`` finds.  ``keep`` names further columns that stay.
     """
+    ship(docs.sparkSession)
+    frequent = frequent_ngrams(texts_of(docs, text_col).select("_text"), words)
+    by_hash = np.argsort(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, (known, rank) = WordHashes(), sent.value
         for batch in batches:
-            for start, part in slices(batch.column(0)):
-                texts = [t or b"" for t in part.cast(pa.binary()).to_pylist()]
-                sets = [ngram_set(t, hashes, words) for t in texts]
-                nodes = [xxhash.xxh3_64_intdigest(s.tobytes(), SEED) if len(s) else None for s in sets]
+            for start, part in slices(batch.column(0), RUN_BYTES):
+                texts, of = _distinct(part)
+                values, n = sets_of(texts, hashes, words)
+                stops = np.cumsum(n)
+                nodes = [xxhash.xxh3_64_intdigest(values[b - k : b].tobytes(), SEED) if k else None for b, k in zip(stops.tolist(), n.tolist(), strict=True)]
                 signed = [v - (1 << 64) if v is not None and v >= 1 << 63 else v for v in nodes]
-                first = dict(zip(reversed(nodes), range(len(nodes) - 1, -1, -1), strict=True))
-                held = [s if len(s) and first[v] == k else s[:0] for k, (s, v) in enumerate(zip(sets, nodes, strict=True))]
-                odd = np.array([parities(s) for s in sets]).reshape(len(sets), PARITIES)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in held])]).astype(np.int32)
-                columns = [pa.array(signed, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))]
+                heads, sizes, rare = prefixes(values, n, known, rank, similarity)
+                ends = np.cumsum(sizes)
+                seen, held = set(), []
+                for k in of:
+                    held.append(heads[ends[k] - sizes[k] : ends[k]] if nodes[k] not in seen else heads[:0])
+                    seen.add(nodes[k])
+                offsets = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*held, heads[:0]])))
+                odd = parities_of(values, n)[of]
+                columns = [pa.array([signed[k] for k in of], pa.int64()), pa.array(n[of].astype(np.int32)), pa.array(rare[of].astype(np.int32)), lists]
                 rest = [c.slice(start, len(part)) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*rest, *columns, *[pa.array(odd[:, k]) for k in range(PARITIES)]], names=[*names, "node", "n", "s", *[f"x_{k}" for k in range(PARITIES)]])
+                yield pa.RecordBatch.from_arrays([*rest, *columns, *[pa.array(odd[:, k]) for k in range(PARITIES)]], names=[*names, "node", "n", "rare", "head", *[f"x_{k}" for k in range(PARITIES)]])
 
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], F.xxhash64(text).alias("key"))
     names = rows.columns[1:]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    schema = [kinds, "node long, n int, s array<long>", *[f"x_{k} long" for k in range(PARITIES)]]
-    return written(rows.mapInArrow(run, ", ".join(schema)), "sets")
+    schema = [kinds, "node long, n int, rare int, head array<long>", *[f"x_{k} long" for k in range(PARITIES)]]
+    with small_batches(docs.sparkSession):
+        found = written(rows.mapInArrow(run, ", ".join(schema)), "sets")
+    sent.unpersist()
+    return found
 
 
-def frequent_ngrams(sets: DataFrame) -> np.ndarray:
+def frequent_ngrams(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     """Hashes of n-grams that stand in many sets, less frequent ones first.
 
     All sets are counted, in runs of ``COUNT_RUN`` hashes; what stands in a run once only is not handed on, so counts are those of
@@ -133,79 +193,66 @@ def frequent_ngrams(sets: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         held: list[np.ndarray] = []
 
         def counted() -> Iterator[pa.RecordBatch]:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(h[c > 1]), pa.array(c[c > 1])], names=["h", "c"])
+            values.sort()
+            again = np.concatenate([[False], values[1:] == values[:-1], [False]])
+            first, last = np.flatnonzero(~again[:-1] & again[1:]), np.flatnonzero(again[:-1] & ~again[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(last - first + 1)], names=["h", "c"])
 
-        for batch in (part for whole in batches for part in _runs(whole, 0)):
-            held.append(batch.column(0).flatten().to_numpy())
-            if sum(map(len, held)) >= COUNT_RUN:
-                yield from counted()
+        for batch in batches:
+            for _, part in slices(batch.column(0), RUN_BYTES):
+                held.append(sets_of(_distinct(part)[0], hashes, words)[0])
+                if sum(map(len, held)) >= COUNT_RUN:
+                    yield from counted()
         if held:
             yield from counted()
 
-    counts = written(sets.where(F.size("s") > 0).select("s").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT), "frequent")
+    with small_batches(texts.sparkSession):
+        counts = written(texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT), "frequent")
     least = FREQUENT
     while counts.where(F.col("c") >= least).count() > MOST_FREQUENT:
         least *= 2
     found = counts.where(F.col("c") >= least).toArrow()
+    discard(counts)
     h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
     return h[np.lexsort((h, c))]
 
 
-def _runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows whose lists in ``column`` have about ``RUN_HASHES`` values together."""
-    stops = batch.column(column).offsets.to_numpy()
-    first = 0
-    while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(stops, stops[first] + RUN_HASHES, "right")) - 1)
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(n * similarity - 1e-6).astype(np.int64) + 1
 
 
-def prefixes(sets: DataFrame, frequent: np.ndarray, similarity: float) -> DataFrame:
-    """``(h, node, n, pos, hot)``: the n-grams of each set's prefix and their places in its order; ``hot`` ones are frequent."""
-    by_hash = np.argsort(frequent)
-    sent = sets.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
+def prefixes(values: np.ndarray, n: np.ndarray, known: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes of sets, in order and one behind the other, their sizes, and how many n-grams of each set are rare.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
-        for batch in (part for whole in batches for part in _runs(whole, 1)):
-            s = batch.column(1)
-            n = np.diff(s.offsets.to_numpy())
-            values, of = s.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-            hot = known[at] == values if len(known) else np.zeros(len(values), bool)
-            # Rare ones are in the order of their hashes already; frequent ones follow.
-            rare = np.cumsum(~hot)
-            before = np.concatenate([[0], rare])[np.cumsum(n) - n]
-            pos = rare - 1 - before[of]
-            late = np.flatnonzero(hot)
-            if len(late):
-                late = late[np.lexsort((rank[at[late]], of[late]))]
-                n_late = np.bincount(of[late], minlength=len(n))
-                opens = np.cumsum(n_late) - n_late
-                pos[late] = (n - n_late)[of[late]] + np.arange(len(late)) - opens[of[late]]
-            kept = np.flatnonzero(pos < prefix_size(n, similarity)[of])
-            whose = pa.array(of[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), batch.column(0).take(whose), pa.array(n[of[kept]].astype(np.int32)), pa.array(pos[kept].astype(np.int32)), pa.array(hot[kept])], names=["h", "node", "n", "pos", "hot"])
-
-    return sets.where(F.size("s") > 0).select("node", "s").mapInArrow(run, "h long, node long, n int, pos int, hot boolean")
-
-
-def prefix_index(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    ``values`` are the sets' sorted hashes and ``n`` their sizes; ``known`` are the frequent n-grams with their ``rank``.
+    """
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+    hot = known[at] == values if len(known) else np.zeros(len(values), bool)
+    # Rare ones are in the order of their hashes already; frequent ones follow.
+    early, late = np.flatnonzero(~hot), np.flatnonzero(hot)
+    late = late[np.lexsort((rank[at[late]], of[late]))]
+    n_rare, opens = np.bincount(of[early], minlength=len(n)), np.cumsum(n) - n
+    n_late = n - n_rare
+    ordered = np.empty_like(values)
+    ordered[np.arange(len(early)) + (opens - np.cumsum(n_rare) + n_rare)[of[early]]] = values[early]
+    ordered[np.arange(len(late)) + (opens + n_rare - np.cumsum(n_late) + n_late)[of[late]]] = values[late]
+    sizes = np.where(n > 0, prefix_size(n, similarity), 0)
+    return ordered[np.arange(len(values)) - opens[of] < sizes[of]], sizes, n_rare
+
+
+def prefix_index(sets: DataFrame) -> DataFrame:
     """``(h, node, n, pos, lead)`` of the n-grams that several sets' prefixes share; ``lead`` is ``(pos, node, n)``.
 
     The rows of a frequent n-gram are dealt in as many parts as there are partitions.
     """
-    rows = prefixes(sets, frequent_ngrams(sets), similarity)
+    rows = sets.where(F.size("head") > 0).select("node", "n", "rare", F.posexplode("head").alias("pos", "h")).withColumn("hot", F.col("pos") >= F.col("rare"))
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("node", "h"), F.lit(parts)).cast("int") + 1).otherwise(0)
     # Dealt before leads are made of the columns, so that each row travels once; place and size in one long.
@@ -275,7 +322,32 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _nodes_of(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """``(node, *columns)`` of the ends of ``pairs``, each once; copies are combined before they are dealt."""
     ends = written(_ends(pairs), "ends")
-    return written(sets.where(F.size("s") > 0).join(sized(ends, WHOLE_SETS), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "nodes")
+    found = written(sets.where(F.size("head") > 0).join(sized(ends, WHOLE_SETS), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in columns]), "nodes")
+    discard(ends)
+    return found
+
+
+def whole_sets(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``(node, s)`` of the ends of ``pairs``: sorted hashes, made of one text (and its copies) of each; ``texts`` are those of ``texts_of``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for _, part in slices(batch.column(0), RUN_BYTES):
+                values, n = sets_of(_distinct(part)[0], hashes, words)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                nodes = [xxhash.xxh3_64_intdigest(values[a:b].tobytes(), SEED) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                signed = [v - (1 << 64) if v >= 1 << 63 else v for v in nodes]
+                yield pa.RecordBatch.from_arrays([pa.array(signed, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "s"])
+
+    ends = written(_ends(pairs), "ends")
+    ones = sets.where(F.size("head") > 0).join(sized(ends, WHOLE_SETS), "node", "left_semi").groupBy("node").agg(F.first("key").alias("key"))
+    keys = written(ones.select("key").distinct(), "keys")
+    made = texts.join(sized(keys, WHOLE_SETS), "key", "left_semi").select("_text").mapInArrow(run, "node long, s array<long>")
+    with small_batches(texts.sparkSession):
+        found = written(made.groupBy("node").agg(F.first("s").alias("s")), "whole")
+    discard(ends, keys)
+    return found
 
 
 def star_pairs(index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -361,14 +433,14 @@ def _likeliest(open_pairs: DataFrame) -> DataFrame:
     return written(sides.groupBy("of").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "picks")
 
 
-def linked_over(pairs: DataFrame, homes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def linked_over(pairs: DataFrame, homes: DataFrame, sets: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``homes (node, of)`` after all ``pairs (a, b, shared)`` between different components have been tried, likely ones first.
 
     ``homes`` is a table of ``written`` that nothing else reads; it is deleted.
     """
     nodes = _nodes_of(pairs, sets, ["n", *[f"x_{k}" for k in range(PARITIES)]])
     tried = written(_suffixes_fit(pairs, nodes, similarity), "pairs")
-    found = _nodes_of(tried, sets, ["s"])
+    found = whole_sets(tried, sets, texts, words)
     discard(nodes)
     before, homes = homes, written(homes.union(found.select("node", F.col("node").alias("of")).join(homes, "node", "left_anti")), "homes")
     discard(before)
@@ -386,15 +458,18 @@ def linked_over(pairs: DataFrame, homes: DataFrame, sets: DataFrame, similarity:
     return homes
 
 
-def linked(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, of)``: the component of every node that has a candidate; ``of`` is its smallest node."""
-    index = prefix_index(sets, similarity)
+def linked(sets: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, of)``: the component of every node that has a candidate; ``of`` is its smallest node.
+
+    ``texts`` are those of ``texts_of`` that ``sets`` were made of; they are read again and must be the same each time.
+    """
+    index = prefix_index(sets)
     homes = written(sets.select("node", F.col("node").alias("of")).where("false"), "homes")
     star = written(star_pairs(index, similarity), "star")
-    homes = linked_over(star, homes, sets, similarity)
+    homes = linked_over(star, homes, sets, texts, words, similarity)
     left = written(left_pairs(index, homes, sets, similarity), "left")
     discard(star, index)
-    homes = linked_over(left, homes, sets, similarity)
+    homes = linked_over(left, homes, sets, texts, words, similarity)
     discard(left)
     return homes
 
@@ -407,8 +482,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     words have 0 n-grams and are linked with nothing.  Repeated rows each get their row; a null ``doc_id`` is no smallest id unless
     its component has no other.  An empty table gives an empty result; columns other than the two named are ignored.
     """
-    sets = ngram_sets(docs, id_col, text_col, words)
-    homes = linked(sets, similarity)
+    sets = ngram_sets(docs, id_col, text_col, words, similarity=similarity)
+    homes = linked(sets, texts_of(docs, text_col), words, similarity)
     marked = sets.select("doc_id", "node", "n").join(homes, "node", "left").withColumn("of", F.coalesce("of", "node"))
     marked = cut(marked.select("doc_id", "n", "of"))
     discard(sets, homes)

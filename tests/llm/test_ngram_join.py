@@ -155,3 +155,37 @@ def test_query_by_brute_force(spark, sf):
 def test_tables_of_many_rows_are_not_broadcast(spark):
     hinted = lambda n: "broadcast" in ngram_join.sized(spark.range(n))._jdf.queryExecution().logical().toString()
     assert hinted(1000) and not hinted(ngram_join.MOST_ROWS + 1) and not hinted(150_000)
+
+
+def test_whole_sets_are_not_kept(spark):
+    """The table of sets holds prefixes, a fifth of the n-grams; whole sets are made for the ends of pairs only, copies once."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(204)) for _ in range(30)] + ["a b", "", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts])], "doc_id long, text string").repartition(3)
+    sets = ngram_join.ngram_sets(docs)
+    held = [max([len(v) for v in r if isinstance(v, list)]) for r in sets.where("n = 200").collect()]
+    assert len(held) == 60 and max(held) == 200 - 160 + 1
+    a, b = sets.where("n = 200").selectExpr("min(node)", "max(node)").first()
+    whole = ngram_join.whole_sets(spark.createDataFrame([(a, b)], "a long, b long"), sets, ngram_join.texts_of(docs))
+    want = {tuple(ngram_join.ngram_set(t.encode(), ngram_join.WordHashes()).tolist()) for t in texts[:30]}
+    found = {r.node: tuple(r.s) for r in whole.collect()}
+    assert found.keys() == {a, b} and whole.count() == 2 and set(found.values()) < want
+
+
+def test_sets_of_many_texts_at_once():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("aBcd") for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 50]))).encode() for _ in range(300)]
+    for some in (texts, [], [b""], [b"a b", b""]):
+        values, n = ngram_join.sets_of(some, ngram_join.WordHashes())
+        want = [ngram_join.ngram_set(t, ngram_join.WordHashes()).tolist() for t in some]
+        assert n.tolist() == [len(w) for w in want] and values.tolist() == sum(want, [])
+
+
+def test_few_rows_travel_to_python_at_once(spark, monkeypatch):
+    seen, write = [], ngram_join.written
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(ngram_join, "written", lambda df, name="table": seen.append((name, int(spark.conf.get(key)))) or write(df, name))
+    ngram_join.ngram_sets(spark.createDataFrame([(1, "one text")], "doc_id long, text string"))
+    assert {name for name, _ in seen} == {"frequent", "sets"} and max(rows for _, rows in seen) <= 1000
+    assert spark.conf.get(key) == before
