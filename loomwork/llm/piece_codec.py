@@ -26,10 +26,13 @@ from loomwork.llm.batches import ids_and_texts, map_texts
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
-#: Words whose ids a worker keeps; beyond it the memory starts afresh, which costs time only.
-REMEMBERED = 1 << 20
-#: Distinct words merged in one batch of rounds.
-BATCH_WORDS = 1 << 16
+#: Bytes of new words and their ids after which a worker forgets those that it has not met since as many before; what is met again
+#: costs time only.  A word takes ``WORD_BYTES`` beside its characters and ids.
+REMEMBERED_BYTES, WORD_BYTES = 16 << 20, 200
+#: Characters of distinct words merged in one batch of rounds, unless a single word is longer; each takes some 100 bytes meanwhile.
+BATCH_CHARS = 1 << 17
+#: Bytes of text that are encoded at once, unless a single text is longer.
+RUN_BYTES = 1 << 20
 
 codecs.register_error("one-mark-a-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -74,7 +77,10 @@ class PieceCodec:
         self.silent = np.array([reader.is_control(i) for i in range(n)])
         self.opens_with_space = [not special[i] and not is_byte[i] and p.startswith(SPACE) for i, p in enumerate(pieces)]
         self.line_feed_is_alone = not any("\n" in p for p in plain)
+        #: Ids of the words met lately, the bytes they take, and those of the words met before them.
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        self.faded: dict[str, bytes] = {}
 
     # Merging -----------------------------------------------------------------------------------
 
@@ -182,15 +188,29 @@ class PieceCodec:
 
     def learn(self, words: list[str]) -> None:
         """Put the ids of new words into the memory."""
-        for part in range(0, len(words), BATCH_WORDS):
-            some = words[part : part + BATCH_WORDS]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        start = 0
+        while start < len(words):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + BATCH_CHARS, "right")))
+            some = words[start:stop]
             spelled = [w if w[:1] in (SPACE, "\n") else SPACE + w for w in some]
             points = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
             lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
             symbols, sizes = self.merge_words(self.symbol[points], lengths)
             symbols, sizes = self._with_bytes(symbols, sizes)
-            raw, ends = symbols.astype("<i4").tobytes(), (np.cumsum(sizes) * 4).tolist()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            raw, at = symbols.astype("<i4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+            self.held += points.nbytes + len(raw) + WORD_BYTES * len(some)
+            start = stop
+
+    def recall(self, words: set[str]) -> list[str]:
+        """Those of ``words`` that must be learned; what was met before is known again."""
+        old = self.faded.get
+        again = {w: ids for w in words if (ids := old(w)) is not None}
+        self.known.update(again)
+        self.held += sum(map(len, again.values())) + 4 * sum(map(len, again)) + WORD_BYTES * len(again)
+        return [w for w in words if w not in again]
 
     def _with_bytes(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points without a piece become the ids of their UTF-8 bytes."""
@@ -207,13 +227,13 @@ class PieceCodec:
 
     def encode(self, texts: list[str | None], end: bool = True) -> list[np.ndarray]:
         """Ids of each whole text; null is empty.  ``end`` adds the end id."""
+        if self.held > REMEMBERED_BYTES:
+            self.faded, self.known, self.held = self.known, {}, 0
         get = self.known.get
         cuts = [self.cut(t) if t else [] for t in texts]
         found = [list(map(get, words)) for words in cuts]
         missing = {w for words, ids in zip(cuts, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-        self.learn(list(missing))
+        self.learn(self.recall(missing))
         tail = np.int32(self.eos).astype("<i4").tobytes() if end else b""
         return [np.frombuffer(b"".join([get(w) if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) + tail, "<i4") for words, ids in zip(cuts, found, strict=True)]
 
@@ -258,7 +278,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, id_col: str
         np.cumsum([len(r) for r in rows], out=offsets[1:])
         return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))}
 
-    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "ids array<int>")
+    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "ids array<int>", RUN_BYTES)
 
 
 def encoding_digests(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +295,7 @@ def encoding_digests(docs: DataFrame, model_path: str | None = None, id_col: str
             decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
-    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string", RUN_BYTES)
 
 
 @lru_cache(maxsize=2)

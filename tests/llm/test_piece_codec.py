@@ -46,6 +46,20 @@ def test_decode_of_any_ids_is_the_librarys(library, codec):
         assert codec.decode(np.array(ids, np.int32)) == library.decode(ids)
 
 
+def test_memory_is_bounded_by_bytes(library):
+    """Long words that never come again are forgotten, and ids stay the library's when words fade and come back."""
+    with open(pc.default_model(), "rb") as f:
+        codec = pc.PieceCodec(f.read())
+    most, merge = [], codec.merge_words
+    codec.merge_words = lambda symbols, *a, **b: most.append(len(symbols)) or merge(symbols, *a, **b)
+    rng = random.Random(5)
+    for _ in range(10):
+        text = " ".join(["the same words again", *("".join(rng.choices("abdethon", k=1000)) for _ in range(1000))])
+        assert codec.encode([text, None])[0].tolist() == library.encode(text) + [library.eos_id()]
+    assert sum(map(len, [*codec.known, *codec.faded])) < 7_000_000
+    assert max(most) <= pc.BATCH_CHARS + 1000
+
+
 def test_rows(odd, library):
     rows = pc.encode_documents(odd).collect()
     assert sorted(map(str, ((r.doc_id, r.ids) for r in rows))) == sorted(map(str, ((r.doc_id, library.encode(r.text or "") + [2]) for r in odd.select("doc_id", "text").collect())))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from loomwork.llm import decontaminate, language_id, piece_codec, quality_qda
+from loomwork.llm.batches import BATCH_CONF, BATCH_ROWS
 from loomwork.plans.lineage import fresh_folder
 
 
@@ -100,3 +101,16 @@ def test_a_row_without_id_goes_alone(spark, bare, make):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{bare}-2/benchmark.parquet")
     out = cp.decontamination(spark, make([(None, f"x {item} y"), (None, "clean text here"), (3, "more clean text"), (3, item)]), f"{bare}-2")
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("3", "more clean text"), ("None", "clean text here")]
+
+
+def test_python_gets_few_rows_at_once(spark, sf, odd):
+    """Batches of 10,000 whole texts stand in an executor's memory once in the JVM and once in Python, for each task."""
+    before = spark.conf.get(BATCH_CONF)
+    try:
+        for stage in (cp.language, cp.quality, cp.encoding):
+            for given, want in (("10000", str(BATCH_ROWS)), ("0", str(BATCH_ROWS)), ("7", "7")):
+                spark.conf.set(BATCH_CONF, given)
+                stage(spark, odd, sf)
+                assert spark.conf.get(BATCH_CONF) == want
+    finally:
+        spark.conf.set(BATCH_CONF, before)
